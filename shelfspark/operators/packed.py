@@ -182,6 +182,9 @@ class Model:
     def __init__(self, values: dict, shapes: dict, splits: dict, exact: float = 0.5):
         self.values, self.shapes, self.splits, self.exact = values, shapes, splits, exact
 
+    def tables(self) -> tuple:
+        return self.values, self.shapes, self.splits
+
     def score(self, field: str, v: str, words: int, parts: int) -> float:
         p = self.exact * self.values.get((field, v), 0.0)
         seen = self.shapes.get((field, shape(v)), 0.0)
@@ -271,12 +274,12 @@ def expected(s: str, field: str, model: Model | None, into: dict) -> None:
 
 def _counts(rows: DataFrame, model: Model | None, theta: float) -> Model:
     """One E-step over all rows and the M-step; at most 1/theta values and shapes of a field come back."""
-    shared = rows.sparkSession.sparkContext.broadcast(model)
+    shared = rows.sparkSession.sparkContext.broadcast(model and model.tables())
 
     def scan(batches):
         import pandas as pd
 
-        m = shared.value
+        m = shared.value and Model(*shared.value)
         into: dict = {}
 
         def flush():
@@ -316,16 +319,17 @@ def unpack(rows: DataFrame, id: str = "import_id", fields: tuple[str, ...] = ("a
     model = None
     for _ in range(rounds):
         model = _counts(long.select("field", "packed"), model, theta)
-    shared = rows.sparkSession.sparkContext.broadcast(model)
+    shared = rows.sparkSession.sparkContext.broadcast(model.tables())
     kind = dict(rows.dtypes)[id]
 
     def decode(batches):
         import pandas as pd
 
+        m = Model(*shared.value)
         for pdf in batches:
             ids, names, pos, val = [], [], [], []
             for i, field, s in zip(pdf[id], pdf["field"], pdf["packed"]):
-                for k, v in enumerate(best(unwrap(s), field, shared.value), 1):
+                for k, v in enumerate(best(unwrap(s), field, m), 1):
                     ids.append(i)
                     names.append(field)
                     pos.append(k)
