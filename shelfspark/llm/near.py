@@ -122,7 +122,7 @@ def _compare(limit: int, least: int):
                 if not same.any():
                     break
                 i = np.flatnonzero(same)
-                x = np.bitwise_count(s0[i] ^ s0[i + k]).astype(np.int16) + np.bitwise_count(s1[i] ^ s1[i + k])
+                x = np.bitwise_count((s0[i] ^ s0[i + k]).view(np.uint64)).astype(np.int16) + np.bitwise_count((s1[i] ^ s1[i + k]).view(np.uint64))  # of signed numbers it would count the bits of the absolute value
                 i = i[x <= SKETCH - least]
                 if len(i):
                     found.append((np.minimum(cid[i], cid[i + k]), np.maximum(cid[i], cid[i + k])))
