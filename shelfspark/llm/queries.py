@@ -6,7 +6,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans import read_table
-from . import formatting, near
+from . import formatting, near, survivor
+from .sql import SURVIVE
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return survivor.survivors(read_table(spark, d, "merge_candidates"), read_table(spark, d, "origins"))
+
+
+def p1_records(spark: SparkSession, d: str) -> DataFrame:
+    return survivor.records(read_table(spark, d, "merge_candidates"), read_table(spark, d, "origins"))
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
@@ -25,7 +34,7 @@ def p4_collapsed(spark: SparkSession, d: str) -> DataFrame:
     return formatting.runs(read_table(spark, d, "entries"))[1].select(F.col("rep").alias("row_id"), "copies")
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_classes, p4_found, p4_collapsed)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_records, p2_found, p2_classes, p4_found, p4_collapsed)}
 
 _SQ = r"coalesce(regexp_replace(lower({c}), '[^\p{{L}}\p{{N}}\p{{M}}]+', '', 'g'), '')"
 _PLAIN = "entry_key entry_type title author editor journal booktitle publisher school institution volume issue_no pages pub_month url abstract".split()
@@ -40,6 +49,8 @@ _CANON = (
 )
 
 SQL = {
+    "p1_found": SURVIVE + " SELECT * FROM won",
+    "p1_records": SURVIVE + " SELECT g.group_id, " + ", ".join(f"(SELECT m.{f} FROM won w JOIN m ON m.member_id = w.member_id WHERE w.group_id = g.group_id AND w.field = '{f}') AS {f}" for f in survivor.FIELDS) + " FROM (SELECT DISTINCT group_id FROM m) g",
     "p4_found": _CANON + " SELECT a.row_id AS row_id_a, b.row_id AS row_id_b FROM canon a JOIN canon b ON a.k = b.k AND a.row_id < b.row_id",
     "p4_collapsed": _CANON + " SELECT min(row_id) AS row_id, count(*) AS copies FROM canon GROUP BY k",
 }
