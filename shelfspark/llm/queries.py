@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans import read_table
-from . import formatting, near, survivor
+from . import formatting, near, residue, survivor
 from .sql import SURVIVE
 
 
@@ -34,7 +34,17 @@ def p4_collapsed(spark: SparkSession, d: str) -> DataFrame:
     return formatting.runs(read_table(spark, d, "entries"))[1].select(F.col("rep").alias("row_id"), "copies")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_records, p2_found, p2_classes, p4_found, p4_collapsed)}
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return residue.residue(read_table(spark, d, "documents")).select("doc_id")
+
+
+def p10_kinds(spark: SparkSession, d: str) -> DataFrame:
+    """How many documents each kind of residue excludes, and the mean share of their text."""
+    found = residue.residue(read_table(spark, d, "documents"))
+    return found.groupBy("kinds").agg(F.count(F.lit(1)).alias("n_docs"), F.round(F.avg("share"), 4).alias("mean_share"))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_records, p2_found, p2_classes, p4_found, p4_collapsed, p10_found, p10_kinds)}
 
 _SQ = r"coalesce(regexp_replace(lower({c}), '[^\p{{L}}\p{{N}}\p{{M}}]+', '', 'g'), '')"
 _PLAIN = "entry_key entry_type title author editor journal booktitle publisher school institution volume issue_no pages pub_month url abstract".split()
