@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans import read_table
-from . import formatting, leak, near, residue, survivor
+from . import formatting, leak, names, near, residue, survivor
 from .sql import SURVIVE
 
 
@@ -34,6 +34,15 @@ def p4_collapsed(spark: SparkSession, d: str) -> DataFrame:
     return formatting.runs(read_table(spark, d, "entries"))[1].select(F.col("rep").alias("row_id"), "copies")
 
 
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return names.variant_pairs(read_table(spark, d, "name_forms"))
+
+
+def p5_entities(spark: SparkSession, d: str) -> DataFrame:
+    """Each spelling with the id of its canonical spelling."""
+    return names.entities(read_table(spark, d, "name_forms"))
+
+
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return leak.leaks(read_table(spark, d, "documents"), read_table(spark, d, "eval_items")).select("doc_id", "item_id")
 
@@ -54,7 +63,7 @@ def p10_kinds(spark: SparkSession, d: str) -> DataFrame:
     return found.groupBy("kinds").agg(F.count(F.lit(1)).alias("n_docs"), F.round(F.avg("share"), 4).alias("mean_share"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_records, p2_found, p2_classes, p4_found, p4_collapsed, p8_found, p8_report, p10_found, p10_kinds)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_records, p2_found, p2_classes, p4_found, p4_collapsed, p5_found, p5_entities, p8_found, p8_report, p10_found, p10_kinds)}
 
 _SQ = r"coalesce(regexp_replace(lower({c}), '[^\p{{L}}\p{{N}}\p{{M}}]+', '', 'g'), '')"
 _PLAIN = "entry_key entry_type title author editor journal booktitle publisher school institution volume issue_no pages pub_month url abstract".split()
