@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans import read_table
-from . import formatting, leak, names, near, residue, survivor
+from . import formatting, leak, mixing, names, near, residue, survivor
 from .sql import SURVIVE
 
 
@@ -53,6 +53,20 @@ def p8_report(spark: SparkSession, d: str) -> DataFrame:
     return found.groupBy("item_id").agg(F.count(F.lit(1)).alias("n_docs"), F.round(F.max("share"), 4).alias("max_share"))
 
 
+def _topics(spark: SparkSession, d: str) -> DataFrame:
+    """Discipline of the serial an entry appeared in, one row per key."""
+    e = read_table(spark, d, "entries").select("entry_key", F.element_at(F.split(F.trim("journal"), r"\s+"), -1).alias("topic")).where("topic != '' and entry_key is not null")
+    return e.groupBy("entry_key").agg(F.min("topic").alias("topic"))
+
+
+def p9_mixture(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.mixture(read_table(spark, d, "documents"), read_table(spark, d, "mix_targets"), _topics(spark, d))
+
+
+def p9_report(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.report(p9_mixture(spark, d), read_table(spark, d, "mix_targets"))
+
+
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return residue.residue(read_table(spark, d, "documents")).select("doc_id")
 
@@ -63,7 +77,7 @@ def p10_kinds(spark: SparkSession, d: str) -> DataFrame:
     return found.groupBy("kinds").agg(F.count(F.lit(1)).alias("n_docs"), F.round(F.avg("share"), 4).alias("mean_share"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_records, p2_found, p2_classes, p4_found, p4_collapsed, p5_found, p5_entities, p8_found, p8_report, p10_found, p10_kinds)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_records, p2_found, p2_classes, p4_found, p4_collapsed, p5_found, p5_entities, p8_found, p8_report, p9_mixture, p9_report, p10_found, p10_kinds)}
 
 _SQ = r"coalesce(regexp_replace(lower({c}), '[^\p{{L}}\p{{N}}\p{{M}}]+', '', 'g'), '')"
 _PLAIN = "entry_key entry_type title author editor journal booktitle publisher school institution volume issue_no pages pub_month url abstract".split()
