@@ -212,17 +212,20 @@ def filler_words(docs: DataFrame, text: str = "text") -> list[str]:
     """Words that mostly stand in documents with known filler words, counted over the whole collection."""
     low = F.lower(F.col(text))
     tokens = F.array_distinct(F.split(low, r"[^\p{L}]+"))
-    opened = (F.size(F.array_intersect(tokens, F.array(*[F.lit(w) for w in sorted(LATIN)]))) >= 2) & ~low.rlike(r"['\"“„«]\s*lorem ipsum")
-    near = docs.select(opened.alias("o"), F.explode(tokens).alias("w")).where("length(w) > 2")
-    few = near.where("o").groupBy("w").agg(F.count(F.lit(1)).alias("n"))
-    total = docs.where(opened).count()
+    known = F.array(*[F.lit(w) for w in sorted(LATIN)])
+    # words are taken apart only where a known one may stand
+    maybe = docs.where(low.rlike("|".join(sorted(LATIN)))).where(~low.rlike(r"['\"“„«]\s*lorem ipsum"))
+    opened = cut(maybe.select(tokens.alias("ts")).where(F.size(F.array_intersect("ts", known)) >= 2))
+    total = opened.count()
     if not total:
         return []
-    few = cut(few.where(F.col("n") >= max(2, THETA * total)))
-    both = near.join(few.select("w"), "w", "left_semi").groupBy("w").agg(F.count_if("o").alias("inside"), F.count(F.lit(1)).alias("all"))
-    words = sorted(r.w for r in both.where("2 * inside >= all").select("w").collect())  # at most (words of a filler text)/THETA
-    discard(few)
-    return words
+    inside = opened.select(F.explode("ts").alias("w")).where("length(w) > 2").groupBy("w").agg(F.count(F.lit(1)).alias("n"))
+    few = {r.w: r.n for r in inside.where(F.col("n") >= max(2, THETA * total)).collect()}  # at most (words of a filler text)/THETA
+    discard(opened)
+    asked = F.array(*[F.lit(w) for w in sorted(few)])
+    near = docs.where(low.rlike("|".join(sorted(few)))).select(F.explode(F.array_intersect(tokens, asked)).alias("w"))
+    everywhere = {r.w: r.n for r in near.groupBy("w").agg(F.count(F.lit(1)).alias("n")).collect()}
+    return sorted(w for w, n in few.items() if 2 * n >= everywhere.get(w, n))
 
 
 def residue(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
