@@ -7,7 +7,7 @@ is high enough; marks that no prose contains count wherever they stand.  A segme
 speaks of such texts, or quotes them, does not count.  A document is excluded when a segment
 counts or when the marked share of the whole document is high.
 
-Filler words beyond the known ones are learned from the whole collection: words that mostly
+Filler words beyond the known ones are learned from the whole collection: words that often
 occur in documents with two or more known filler words.  A word is kept only if at least ``THETA`` of
 those documents hold it, which bounds the broadcast lexicon by their words per ``THETA``.
 
@@ -209,7 +209,7 @@ def judge(text: str | None, automaton, marks, lexicon: frozenset) -> tuple[bool,
 
 
 def filler_words(docs: DataFrame, text: str = "text") -> list[str]:
-    """Words that mostly stand in documents with known filler words, counted over the whole collection."""
+    """Words of which at least a third of the documents are documents with known filler words, counted over the whole collection."""
     low = F.lower(F.col(text))
     tokens = F.array_distinct(F.split(low, r"[^\p{L}]+"))
     known = F.array(*[F.lit(w) for w in sorted(LATIN)])
@@ -225,7 +225,7 @@ def filler_words(docs: DataFrame, text: str = "text") -> list[str]:
     asked = F.array(*[F.lit(w) for w in sorted(few)])
     near = docs.where(low.rlike("|".join(sorted(few)))).select(F.explode(F.array_intersect(tokens, asked)).alias("w"))
     everywhere = {r.w: r.n for r in near.groupBy("w").agg(F.count(F.lit(1)).alias("n")).collect()}
-    return sorted(w for w, n in few.items() if 2 * n >= everywhere.get(w, n))
+    return sorted(w for w, n in few.items() if 3 * n >= everywhere.get(w, n))
 
 
 def residue(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
