@@ -7,6 +7,9 @@ import unicodedata
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+NAME = T.StructType([T.StructField(k, T.ArrayType(T.StringType())) for k in ("first", "von", "last", "jr")])
 
 JR = {"jr", "sr", "ii", "iii", "iv", "jr.", "sr."}
 
@@ -40,7 +43,7 @@ def split_name(name: str) -> tuple[list[str], list[str], list[str], list[str]]:
     return first, ws[:cut], ws[cut:], parts[1] if len(parts) > 2 else []
 
 
-@F.pandas_udf("struct<first:array<string>,von:array<string>,last:array<string>,jr:array<string>>")
+@F.pandas_udf(NAME)
 def parse_name(s: pd.Series) -> pd.DataFrame:
     got = [split_name(x) if isinstance(x, str) else ([], [], [], []) for x in s]
     return pd.DataFrame({k: [g[i] for g in got] for i, k in enumerate(("first", "von", "last", "jr"))})
@@ -50,7 +53,7 @@ def initials(first: str) -> str:
     return " ".join("-".join(p[0] + "." for p in w.split("-") if p) for w in first.split())
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def abbreviate(s: pd.Series) -> pd.Series:
     return s.map(lambda x: initials(x) if isinstance(x, str) else None)
 
@@ -72,7 +75,7 @@ def name_pattern(name: str, pattern: str) -> str:
 
 
 def format_names(pattern: str):
-    @F.pandas_udf("string")
+    @F.pandas_udf(T.StringType())
     def run(s: pd.Series) -> pd.Series:
         return s.map(lambda x: name_pattern(x, pattern) if isinstance(x, str) else None)
 
@@ -87,7 +90,7 @@ def sort_form(x: str) -> str:
     return re.sub(r"\s+", " ", re.sub(r"[^A-Za-z0-9\s]", "", x.replace("-", " ").replace("~", " "))).strip()
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def purify(s: pd.Series) -> pd.Series:
     return s.map(lambda x: sort_form(x) if isinstance(x, str) else None)
 
@@ -112,7 +115,7 @@ def change_case(title: str, mode: str) -> str:
 
 
 def recase(mode: str):
-    @F.pandas_udf("string")
+    @F.pandas_udf(T.StringType())
     def run(s: pd.Series) -> pd.Series:
         return s.map(lambda x: change_case(x, mode) if isinstance(x, str) else None)
 
@@ -173,7 +176,7 @@ def porter(w: str) -> str:
     return w
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(T.ArrayType(T.StringType()))
 def stems(s: pd.Series) -> pd.Series:
     return s.map(lambda ws: [porter(w) if len(w) > 3 else w for w in ws] if ws is not None else None)
 
@@ -212,7 +215,7 @@ def snippet(text: str, found: list[tuple[int, int, float]], most: int = 200) ->
 
 
 def marked(words: list[str], phrases: tuple[str, ...] = (), most: int = 200, tag: str = "mark"):
-    @F.pandas_udf("string")
+    @F.pandas_udf(T.StringType())
     def run(s: pd.Series) -> pd.Series:
         def one(x):
             if not isinstance(x, str):

@@ -73,7 +73,7 @@ def orphan_references(references: DataFrame, parents: DataFrame, removals: DataF
         .when(F.col("absent") & F.col("removed").isNull(), "missing")
     )
     hit = references.join(suspect, "entry_key").withColumn("kind", kind).where("kind is not null")
-    return hit.groupBy("src", "ref_id", "entry_key").agg(F.min_by("kind", "ts").alias("kind"), F.date_format(F.min("ts"), "yyyy-MM").alias("period"))
+    return hit.groupBy("src", "ref_id", "entry_key").agg(F.coalesce(F.min_by("kind", "ts"), F.max("kind")).alias("kind"), F.date_format(F.min("ts"), "yyyy-MM").alias("period"))
 
 
 def orphan_report(orphans: DataFrame) -> DataFrame:

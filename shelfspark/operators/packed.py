@@ -284,7 +284,7 @@ def _counts(rows: DataFrame, model: Model | None, theta: float) -> Model:
 
         def flush():
             keys = list(into)
-            frame = pd.DataFrame({"field": [k[0] for k in keys], "kind": [k[1] for k in keys], "val": [k[2] for k in keys], "n": list(into.values())})
+            frame = pd.DataFrame([(*k, into[k]) for k in keys], columns=["field", "kind", "val", "n"]).astype({"n": "float64"})
             into.clear()
             return frame
 
@@ -334,6 +334,7 @@ def unpack(rows: DataFrame, id: str = "import_id", fields: tuple[str, ...] = ("a
                     names.append(field)
                     pos.append(k)
                     val.append(v)
-            yield pd.DataFrame({id: pd.Series(ids, dtype=pdf[id].dtype), "field": names, "pos": pos, "val": val})
+            text = {"dtype": object}  # an empty list would become numbers
+            yield pd.DataFrame({id: pd.Series(ids, dtype=pdf[id].dtype), "field": pd.Series(names, **text), "pos": pd.Series(pos, dtype="int64"), "val": pd.Series(val, **text)})
 
     return long.mapInPandas(decode, f"{id} {kind}, field string, pos bigint, val string")
