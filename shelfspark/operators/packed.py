@@ -236,13 +236,14 @@ def best(s: str, field: str, model: Model) -> list[str]:
 
 
 def expected(s: str, field: str, model: Model | None, into: dict) -> None:
-    """Adds the expected counts of one field to ``into``; without a model, those of values that only certain separators bound."""
+    """Adds the expected counts of one field to ``into``; without a model, those of values that certain separators bound."""
     n, seps, edges = lattice(s, field, model)
     if not n:
         return
     if model is None:
         for i, j, v, _ in edges:
-            if v and j == i + 1 and (i == 0 or seps[i - 1] == "h") and (j == n or seps[j - 1] == "h"):
+            # of names only single chunks are certain; in other fields an uncertain sign is first taken as part of its value
+            if v and (j == i + 1 or field != "author") and (i == 0 or seps[i - 1] == "h") and (j == n or seps[j - 1] == "h"):
                 for key in ((field, "v", v), (field, "s", shape(v))):
                     into[key] = into.get(key, 0.0) + 1.0
         return
