@@ -239,8 +239,9 @@ def residue(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFram
         automaton, marks = _patterns()
         words = frozenset(lexicon.value)
         for pdf in batches:
-            got = [judge(t, automaton, marks, words) for t in pdf["text"]]
-            keep = [g[0] for g in got]
-            yield pd.DataFrame({id: pdf["id"][keep].to_numpy(), "share": [g[1] for g in got if g[0]], "kinds": [g[2] for g in got if g[0]]})
+            got = [(i, *judge(t, automaton, marks, words)) for i, t in zip(pdf["id"], pdf["text"])]
+            out = [(i, share, kinds) for i, bad, share, kinds in got if bad]
+            # typed, because an empty list would become numbers
+            yield pd.DataFrame({id: pd.Series([o[0] for o in out], dtype=pdf["id"].dtype), "share": pd.Series([o[1] for o in out], dtype="float64"), "kinds": pd.Series([o[2] for o in out], dtype=object)})
 
     return docs.select(F.col(id).alias("id"), F.col(text).alias("text")).where("text is not null").mapInPandas(scan, f"{id} {kind}, share double, kinds string")
