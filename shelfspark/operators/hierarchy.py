@@ -60,7 +60,7 @@ def _linked(nodes: DataFrame) -> DataFrame:
 
 
 def _double(links: DataFrame) -> DataFrame:
-    """(cid, root, depth, looped) of every node by pointer doubling; finished nodes leave the loop."""
+    """(cid, root, depth, looped, in_loop) of every node by pointer doubling; finished nodes leave the loop."""
     state = cut(
         links.select(
             "cid",
@@ -84,7 +84,7 @@ def _double(links: DataFrame) -> DataFrame:
         # where an acyclic node is still under way, one of its ancestors finishes in each round
         if left == before:
             break
-    done = state.where("done").select("cid", F.col("ptr").alias("root"), F.col("dist").alias("depth"), F.lit(False).alias("looped"))
+    done = state.where("done").select("cid", F.col("ptr").alias("root"), F.col("dist").alias("depth"), F.lit(False).alias("looped"), F.lit(False).alias("in_loop"))
     if not left:
         return done
     rest = cut(links.join(state.where("not done").select("cid"), "cid", "left_semi").select("cid", F.col("parent").alias("ptr"), F.col("cid").alias("low")))
@@ -95,7 +95,11 @@ def _double(links: DataFrame) -> DataFrame:
         rest = nxt
     # after so many steps every pointer lies on its loop, and ``low`` of a loop node covers the whole loop
     low = rest.select(F.col("cid").alias("ptr"), F.col("low").alias("root"))
-    looped = rest.select("cid", "ptr").join(low, "ptr").select("cid", "root", F.lit(-1).cast("bigint").alias("depth"), F.lit(True).alias("looped"))
+    # and the nodes that are pointed at are just the loop nodes
+    ring = rest.select(F.col("ptr").alias("cid")).distinct().withColumn("in_loop", F.lit(True))
+    looped = rest.select("cid", "ptr").join(low, "ptr").join(ring, "cid", "left").select(
+        "cid", "root", F.lit(-1).cast("bigint").alias("depth"), F.lit(True).alias("looped"), F.coalesce("in_loop", F.lit(False)).alias("in_loop")
+    )
     return done.unionByName(looped)
 
 
@@ -208,27 +212,14 @@ def hierarchy(rows: DataFrame, id: str = "id", parent: str = "parent_id", name:
     )
     if sizes.where(F.col("size") > max_component).limit(1).count():
         big = placed.where(F.col("size") > max_component)
-        ring = _ring(big.where("looped").select("cid", "parent"))
         roots = links.select(F.col("cid").alias("root"), F.col("id").alias("root_name"))
-        big = cut(big.join(ring, "cid", "left").withColumn("in_loop", F.coalesce("in_loop", F.lit(False))))
-        # the ring of a large component is opened at its smallest id, so that the paths end
+        big = cut(big)
+        # paths of a large component end at its loop
         nodes = big.withColumn("stop", F.col("parent").isNull() | (F.col("looped") & F.col("in_loop")))
         out = out.unionByName(_large(nodes, big.join(roots, "root").select("cid", "root_name", "depth", "in_loop")))
     return out
 
 
-def _ring(looped: DataFrame) -> DataFrame:
-    """Loop members of components with a loop: what is left when nodes without children are taken off."""
-    left = cut(looped)
-    while True:
-        kept = left.join(left.select(F.col("parent").alias("cid")).distinct(), "cid", "left_semi")
-        nxt = cut(kept)
-        if nxt.count() == left.count():
-            return nxt.select("cid", F.lit(True).alias("in_loop"))
-        discard(left)
-        left = nxt
-
-
 def descendants(tree: DataFrame) -> DataFrame:
     """(ancestor_id, descendant_id, distance): every node under each of its ancestors, a narrow expansion of ``path_ids``."""
     n = F.size("path_ids")

@@ -170,7 +170,7 @@ def write_text(df: DataFrame, column, path: str) -> None:
 def write_csv(df: DataFrame, path: str, fields: list[str], sep: str = ",", quote: str = '"') -> None:
     kinds = dict(df.dtypes)
     flat = [F.array_join(c, "; ").alias(c) if kinds[c].startswith("array") else F.col(c) for c in fields]
-    df.select(*flat).write.option("header", True).option("sep", sep).option("quote", quote).csv(path)
+    df.select(*flat).write.option("header", True).option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).option("sep", sep).option("quote", quote).csv(path)
 
 
 def verify_copy(source: DataFrame, target: DataFrame, key: str = "key") -> DataFrame:

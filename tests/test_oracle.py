@@ -3,9 +3,9 @@
 import pytest
 from conftest import against_sql
 
-from shelfspark.catalog import formats, problems, quality, relational, search, structured
+from shelfspark.catalog import formats, problems, quality, relational, rest, search, structured
 
-PARTS = [problems, structured, relational, quality, search, formats]
+PARTS = [problems, structured, relational, quality, search, formats, rest]
 PAIRS = [(n, p.QUERIES[n], p.SQL[n]) for p in PARTS for n in p.QUERIES if n in p.SQL]
 REST = [(n, p.QUERIES[n]) for p in PARTS for n in p.QUERIES if n not in p.SQL]
 
