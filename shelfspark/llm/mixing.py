@@ -30,7 +30,8 @@ from pyspark.sql import functions as F
 
 from ..plans import cut, discard
 
-SALTS = 16
+SALTS = 16  # at least; with more than ROWS_A_SALT documents a salt, more
+ROWS_A_SALT = 500_000
 CLASSES = 8  # size classes for each doubling of the length
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 
@@ -129,18 +130,20 @@ def mixture(docs: DataFrame, targets: DataFrame, topics: DataFrame | None = None
         table = spark.createDataFrame([(c[0], c[1], c[2], float(u)) for c, u in zip(cells, uses)], schema)
     else:
         table = spark.createDataFrame([], schema)
-    return _draw(celled.join(table, ["source", "lang", "topic"]), want, seed)
+    salts = max(SALTS, -(-counted.count() // ROWS_A_SALT))
+    return _draw(celled.join(table, ["source", "lang", "topic"]), salts, seed)
 
 
-def _draw(rows: DataFrame, want: DataFrame, seed: int) -> DataFrame:
+def _draw(rows: DataFrame, salts: int, seed: int) -> DataFrame:
     """
     Systematic sampling of the fractional uses within the source, in order of size, so that the drawn
     tokens miss their target by about one document.  Size classes are salted into buckets: running
-    totals are taken over buckets first, at most 64 * SALTS * CLASSES of them a source, then inside each.
+    totals are taken over buckets first, then inside each; the number of salts follows the rows, so a
+    bucket stays small however large its source is.
     """
     x = rows.select("doc_id", "source", "lang", "topic", "n_tokens", F.floor("uses").alias("whole"), (F.col("uses") - F.floor("uses")).alias("part"), F.xxhash64("doc_id", F.lit(seed)).alias("h"))
     size_class = F.floor(F.log2("n_tokens") * CLASSES).cast("bigint")
-    x = x.withColumn("bucket", size_class * SALTS + F.pmod(F.col("h"), F.lit(SALTS)))
+    x = x.withColumn("bucket", size_class * salts + F.pmod(F.col("h"), F.lit(salts)))
     mass = cut(x.groupBy("source", "bucket").agg(F.sum("part").alias("sum")))
     before = F.coalesce(F.sum("sum").over(Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
     start = mass.select("source", "bucket", before.alias("start"))
