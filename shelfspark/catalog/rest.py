@@ -16,9 +16,9 @@ from ..plans.session import stage_dir
 from ..sources import bibliography as B
 from .quality import _TAY
 from .records import SQL_RECORDS as R
-from .records import by_key, collections, events, metadata, notes, records, sessions, with_crossref
+from .records import by_key, collections, events, metadata, notes, records, sessions
 from .registry import Catalog
-from .search import _POST, RK, _has, _score
+from .search import _POST, RK, _has
 
 C = Catalog()
 QUERIES, SQL = C.QUERIES, C.SQL
@@ -79,11 +79,11 @@ def _bm25(s, d):
     """BM25 over postings with true frequencies: the query's postings meet one length a document."""
     p = S.postings(S.searchable(records(s, d)))
     length = p.groupBy("row_id", "field").agg(F.first("len").alias("len")).groupBy("row_id").agg(F.sum("len").alias("len"))
-    stats = length.agg(F.count(F.lit(1)).alias("n"), F.avg("len").alias("mean"))
+    stats = {"n": length.agg(F.count(F.lit(1))).scalar(), "mean": length.agg(F.avg("len")).scalar()}
     q = p.where(F.col("term").isin("comet", "otter")).groupBy("term", "row_id").agg(F.sum("tf").alias("tf"))
     df = q.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     one = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1) * F.col("tf") * 2.2 / (F.col("tf") + 1.2 * (0.25 + 0.75 * F.col("len") / F.col("mean")))
-    return q.join(df, "term").join(length, "row_id").join(stats).groupBy("row_id").agg(F.round(F.sum(one), 6).alias("score"))  # stats is one row
+    return q.join(df, "term").join(length, "row_id").withColumns(stats).groupBy("row_id").agg(F.round(F.sum(one), 6).alias("score"))
 
 
 # text

@@ -119,8 +119,8 @@ def _formula(s, d):
     p = _post(s, d).where("field = 'title'")
     mean = p.groupBy("row_id").agg(F.first("len").alias("len")).agg(F.avg("len").alias("mean"))
     own = p.where("term = 'kriging'")
-    one = own.agg(F.countDistinct("row_id").alias("df")).join(mean).join(records(s, d).agg(F.count(F.lit(1)).alias("n")))  # one row each
-    return own.join(one).select("row_id", F.round(S.bm25(F.col("tf"), F.col("df"), F.col("len"), F.col("mean"), F.col("n")), 6).alias("score"))
+    one = {"df": own.agg(F.countDistinct("row_id")).scalar(), "mean": mean.scalar(), "n": records(s, d).agg(F.count(F.lit(1))).scalar()}
+    return own.withColumns(one).select("row_id", F.round(S.bm25(F.col("tf"), F.col("df"), F.col("len"), F.col("mean"), F.col("n")), 6).alias("score"))
 
 
 # text functions

@@ -108,7 +108,7 @@ def guessed_df(term: str, total: Column) -> Column:
 def rank(df: DataFrame, words: list[str], how: str = "bm25") -> DataFrame:
     """Ranks all rows by field-weighted bm25 or tf-idf of the words, with the frequencies the heuristic assumes."""
     total = df.agg(F.count(F.lit(1)).alias("n_docs"))
-    out = searchable(df).join(total)  # one row
+    out = searchable(df).withColumn("n_docs", total.scalar())
     score = F.lit(0.0)
     for w in words:
         w = w.lower()
@@ -137,9 +137,9 @@ def suggest(df: DataFrame, prefix: str, field: str = "title", limit: int = 10) -
 
 def more_like(post: DataFrame, row: int, limit: int = 10) -> DataFrame:
     """Records sharing the rarest terms of one record: tf-idf over the postings, no pair of records is formed but with the one asked for."""
-    n = post.agg(F.countDistinct("row_id").alias("n"))
+    n = post.agg(F.countDistinct("row_id").alias("n")).scalar()
     freq = post.groupBy("term").agg(F.countDistinct("row_id").alias("df"))
-    own = post.where(F.col("row_id") == row).groupBy("term").agg(F.sum("tf").alias("own")).join(freq, "term").join(n)
+    own = post.where(F.col("row_id") == row).groupBy("term").agg(F.sum("tf").alias("own")).join(freq, "term").withColumn("n", n)
     weight = own.select("term", (F.col("own") * F.log(F.col("n") / F.col("df"))).alias("w"))
     return post.where(F.col("row_id") != row).join(weight, "term").groupBy("row_id").agg(F.round(F.sum(F.col("w") * F.col("tf")), 6).alias("score")).orderBy(F.desc("score"), "row_id").limit(limit)
 

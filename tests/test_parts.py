@@ -1,7 +1,5 @@
 """Small tests of predicates, the query language, text functions, sources, quality rules and streams."""
 
-import datetime
-
 import pytest
 from pyspark.sql import functions as F
 
