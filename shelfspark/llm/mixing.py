@@ -28,7 +28,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..plans import cut, discard
+from ..plans import cut
 
 SALTS = 16  # at least; with more than ROWS_A_SALT documents a salt, more
 ROWS_A_SALT = 500_000
@@ -160,7 +160,7 @@ def report(drawn: DataFrame, targets: DataFrame) -> DataFrame:
     clean = F.lower(F.trim("source"))
     want = targets.where("source is not null").groupBy(clean.alias("source")).agg(F.sum("weight").alias("target_share"), F.min("max_repeats").alias("max_repeats"))
     got = drawn.groupBy("source").agg(F.sum(F.col("n_tokens") * F.col("uses")).alias("tokens"), F.count(F.lit(1)).alias("n_docs"), F.max("uses").alias("most_used"))
-    whole = got.agg(F.sum("tokens").alias("all"))
-    return want.join(got, "source", "left").crossJoin(whole).select(  # one row
+    whole = got.agg(F.sum("tokens").alias("all")).scalar()
+    return want.join(got, "source", "left").withColumn("all", whole).select(
         "source", "target_share", F.round(F.coalesce(F.col("tokens"), F.lit(0)) / F.col("all"), 6).alias("actual_share"), F.coalesce("tokens", F.lit(0)).alias("tokens"), F.coalesce("n_docs", F.lit(0)).alias("n_docs"), F.coalesce("most_used", F.lit(0)).alias("most_used"), "max_repeats"
     )

@@ -6,7 +6,7 @@ unit whose frequency is its prior.  For each unit the channel gives the likeliho
 is a distorted form of another unit nearby: a typo, an initial or a lost middle initial, a
 nickname, a swapped order, an acronym.  Candidate canonical forms are the fuller and, among
 equals, the more frequent spellings; each unit is attached to the candidate of maximum
-posterior, and the roots of these attachments are the entities.
+posterior, and what these attachments connect is one entity.
 
 Given names are recognised, and their typos and nicknames put right, with a vocabulary
 learned from the whole column; a name enters it with a relative frequency of at least
@@ -98,7 +98,7 @@ def organisation(name: str) -> tuple[str, str, str, str]:
     """(place, kind, subjects in order, acronym)."""
     f = fold(name).replace("&", " and ")
     m = re.match(r"^\s*([A-Z][a-z]?[A-Z]{1,4}),?\s+([^\W\d_]{4,})\s*$", name)
-    if m and not any(w in KINDS for w in re.findall(r"[^\W\d_]+", f)):
+    if m and not (fold(m.group(1)) in KINDS and len(m.group(1)) > 3) and fold(m.group(2)) not in KINDS:
         return fold(m.group(2)), "", "", "".join(c for c in m.group(1) if c.isupper()).lower()
     head, _, tail = f.rpartition(",")
     words = re.findall(r"[^\W\d_]+", head or f)
@@ -230,7 +230,7 @@ def parse(names: DataFrame, given: dict) -> DataFrame:
                         fixed = _corrected(g, vocab)
                         g = NICKNAMES.get(g, g) if not fixed else fixed
                         g = NICKNAMES.get(g, g)
-                    out.append((i, "p", family, g, initials[1:], raw[:1] or initials[:1], n))
+                    out.append((i, "p", family, g, initials[1:], raw or initials[:1], n))
             yield pd.DataFrame(out, columns=["name_id", "kind", "family", "given", "initials", "raw", "n"])
 
     rows = names.select(F.col("name_id").cast("bigint").alias("name_id"), F.col("person_name").alias("s"), (F.coalesce("n_author", F.lit(0)) + F.coalesce("n_editor", F.lit(0)) + 1).cast("bigint").alias("n"))
@@ -254,12 +254,13 @@ def channel(x: tuple, c: tuple) -> float | None:
     gx, gc = x[2], c[2]
     if gx and gc:
         if gx != gc:
-            if away or near(gx, gc) > 1 or min(len(gx), len(gc)) < 4:
+            close = min(near(a, b) for a in {gx, x[4]} for b in {gc, c[4]})
+            if away or close > 1 or min(len(gx), len(gc)) < 3 or max(len(gx), len(gc)) < 4:
                 return None
             w += TYPO
     elif gx or gc:
         full, short = (x, c) if gx else (c, x)
-        if (away and len(short[1]) < 7) or not short[4] or short[4] not in (full[2][:1], full[4]):
+        if (away and len(short[1]) < 7) or not short[4] or short[4] not in (full[2][:1], full[4][:1]):
             return None
         w += INITIAL
     else:
@@ -303,16 +304,16 @@ def _keys(batches):
         out = []
         for k in range(len(pdf)):
             u, kind, family, given, raw = (pdf[c].iat[k] for c in ("unit", "kind", "family", "given", "raw"))
-            firsts = {""} if kind == "o" else {given[:1], raw} - {""} or {""}
+            firsts = {""} if kind == "o" else {given[:1], raw[:1]} - {""} or {""}
             for d in deletions(family) if len(family) >= 5 else [family]:
                 out.extend((u, f"{kind}{f}|{d}") for f in firsts)
-            if kind == "p" and len(given) >= 4:
-                out.extend((u, f"g{family}|{d}") for d in deletions(given))
+            if kind == "p" and len(given) >= 3:
+                out.extend((u, f"g{family}|{d}") for d in {*deletions(given), *deletions(raw)})
         yield pd.DataFrame(out, columns=["unit", "block"]).astype({"unit": "int64"})
 
 
 def attach(units: DataFrame) -> DataFrame:
-    """(unit, target, posterior): the maximum-posterior canonical form of each unit that has one."""
+    """(unit, target, posterior): the maximum-posterior canonical form of each unit that has one, and its twins."""
     keyed = units.mapInPandas(_keys, "unit bigint, block string")
     side = lambda p: keyed.select("block", F.col("unit").alias(p))
     pairs = side("x").join(side("c"), "block").where("x != c").select("x", "c").distinct()
@@ -325,7 +326,7 @@ def attach(units: DataFrame) -> DataFrame:
     ranked = units.select(*cols, rank.alias("rank"))
     px = ranked.select(F.col("unit").alias("x"), F.struct(*cols[1:]).alias("fx"), F.col("rank").alias("rx"))
     pc = ranked.select(F.col("unit").alias("c"), F.struct(*cols[1:]).alias("fc"), F.col("rank").alias("rc"))
-    both = pairs.join(px, "x").join(pc, "c").where("rc > rx").select("x", "c", "fx", "fc")
+    both = pairs.join(px, "x").join(pc, "c").select("x", "c", "fx", "fc", (F.col("rc") > F.col("rx")).alias("up"))
 
     def score(batches):
         import math
@@ -334,36 +335,42 @@ def attach(units: DataFrame) -> DataFrame:
 
         for pdf in batches:
             out = []
-            for x, c, fx, fc in zip(pdf["x"], pdf["c"], pdf["fx"], pdf["fc"]):
+            for x, c, fx, fc, up in zip(pdf["x"], pdf["c"], pdf["fx"], pdf["fc"], pdf["up"]):
+                # people whose given names and initials agree differ by a typo only: linked whichever form is the canonical one
+                twin = fx["kind"] == "p" and fx["given"] != "" and fx["given"] == fc["given"] and fx["initials"] == fc["initials"]
+                if not up and not twin and (fx["family"] == fc["family"] or fc["n"] < fx["n"]):
+                    continue
                 tx, tc = (tuple(f[k] for k in ("kind", "family", "given", "initials", "raw")) for f in (fx, fc))
                 w = channel(tx, tc)
                 if w is not None:
-                    out.append((x, c, w + math.log(fc["n"])))
-            yield pd.DataFrame(out, columns=["x", "c", "w"]).astype({"x": "int64", "c": "int64", "w": "float64"})
+                    out.append((x, c, bool(up), twin and bool(up), w + math.log(fc["n"])))
+            yield pd.DataFrame(out, columns=["x", "c", "up", "twin", "w"]).astype({"x": "int64", "c": "int64", "up": "bool", "twin": "bool", "w": "float64"})
 
-    scored = both.mapInPandas(score, "x bigint, c bigint, w double")
-    total = F.sum(F.exp("w"))
-    return scored.groupBy("x").agg(F.max(F.struct("w", (-F.col("c")).alias("m"))).alias("b"), total.alias("z")).select(F.col("x").alias("unit"), (-F.col("b.m")).alias("target"), (F.exp("b.w") / F.col("z")).alias("posterior"))
+    scored = cut(both.mapInPandas(score, "x bigint, c bigint, up boolean, twin boolean, w double"))
+    # a fuller form comes first; a typo in the family name may also be told by a plainer form that is as frequent
+    top = scored.groupBy("x").agg(F.max(F.struct("up", "w", (-F.col("c")).alias("m"))).alias("b"), F.sum(F.when(F.col("up"), F.exp("w"))).alias("zu"), F.sum(F.exp("w")).alias("z"))
+    best = top.select(F.col("x").alias("unit"), (-F.col("b.m")).alias("target"), (F.exp("b.w") / F.when(F.col("b.up"), F.col("zu")).otherwise(F.col("z"))).alias("posterior"))
+    return best.unionByName(scored.where("twin").select(F.col("x").alias("unit"), F.col("c").alias("target"), F.lit(1.0).alias("posterior")))
 
 
 def entities(names: DataFrame) -> DataFrame:
-    """(name_id, entity): ``entity`` is the name id of the canonical spelling."""
+    """(name_id, entity): ``entity`` is the smallest name id among the spellings of the entity."""
     parsed = cut(parse(names, vocabulary(names)))
     key = ["kind", "family", "given", "initials", "raw"]
     units = cut(parsed.groupBy(*key).agg(F.sum("n").alias("n"), F.min("name_id").alias("unit")))
-    links = cut(attach(units))
-    # attachments lead to ever higher ranks, so following them ends; each round halves the way
-    state = cut(units.select("unit").join(links.select("unit", "target"), "unit", "left").select("unit", F.coalesce("target", "unit").alias("root")))
+    links = attach(units).select("unit", "target")
+    edge = cut(links.unionByName(links.select(F.col("target").alias("unit"), F.col("unit").alias("target"))).distinct())
+    # entities are small, so the smallest unit of each spreads in a few rounds; only linked units take part
+    state = cut(edge.select("unit").distinct().withColumn("root", F.col("unit")))
     while True:
-        up = state.select(F.col("unit").alias("root"), F.col("root").alias("r2"))
-        nxt = cut(state.join(up, "root").select("unit", F.col("r2").alias("root"), (F.col("r2") != F.col("root")).alias("moved")))
+        seen = edge.join(state.select(F.col("unit").alias("target"), F.col("root").alias("r2")), "target").groupBy("unit").agg(F.min("r2").alias("r2"))
+        nxt = cut(state.join(seen, "unit").select("unit", F.least("root", "r2").alias("root"), (F.col("r2") < F.col("root")).alias("moved")))
         more = nxt.where("moved").limit(1).count()
         discard(state)
-        state = nxt.select("unit", "root")
-        state._shelf_stage = nxt._shelf_stage
+        state = nxt
         if not more:
             break
-    return parsed.join(units.select(*key, "unit"), key).join(state, "unit").select("name_id", F.col("root").alias("entity"))
+    return parsed.join(units.select(*key, "unit"), key).join(state.select("unit", "root"), "unit", "left").select("name_id", F.coalesce("root", "unit").alias("entity"))
 
 
 def variant_pairs(names: DataFrame) -> DataFrame:

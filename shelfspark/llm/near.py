@@ -189,16 +189,16 @@ def classes(df: DataFrame, id: str, columns: tuple[str, ...], record: Column | N
 
 def similar_classes(rows: DataFrame, threshold: float = 0.7, lam: float = 0.65, trees: int = 14, limit: int = 48, max_depth: int = 12) -> DataFrame:
     """(cid_a, cid_b, similarity) of all classes at least ``threshold`` alike; ``cid`` is the smallest row id of a class."""
-    spark = rows.sparkSession
     reps = rows.groupBy("bag").agg(F.min_by(F.struct("row_id", "elems", "mins", "s0", "s1"), "row_id").alias("r"))
     reps = cut(reps.select(F.col("r.row_id").alias("cid"), "r.elems", "r.mins", "r.s0", "r.s1"))
     total = reps.count()
     least = math.floor(SKETCH * ((1 + threshold) / 2) - 4 * math.sqrt(SKETCH * (1 + threshold) / 2 * (1 - threshold) / 2))
     depth = max(1, math.ceil(math.log(max(total / limit, 2)) / math.log(8)))
     nodes = reps.select("cid", "mins", "s0", "s1").mapInPandas(_expand(trees, depth, lam, True), NODE)
-    found = []
+    found, staged = [], [reps]
     while True:
         scanned = cut(nodes.repartition("node").sortWithinPartitions("node").mapInPandas(_compare(limit, least), NODE))
+        staged.append(scanned)
         found.append(scanned.where("node is null").select(F.col("cid").alias("a"), F.col("s0").alias("b")))
         large = scanned.where("node is not null")
         if depth >= max_depth or not large.limit(1).count():
@@ -215,9 +215,11 @@ def similar_classes(rows: DataFrame, threshold: float = 0.7, lam: float = 0.65,
     right = reps.select(F.col("cid").alias("b"), F.col("elems").alias("eb"))
     both = F.size(F.array_intersect("ea", "eb"))
     sim = both / (F.size("ea") + F.size("eb") - both)
-    return cut(
+    links = cut(
         cand.join(left, "a").join(right, "b").select(F.col("a").alias("cid_a"), F.col("b").alias("cid_b"), sim.alias("similarity")).where(F.col("similarity") >= threshold)
     )
+    discard(*staged)
+    return links
 
 
 def _blocks(large: DataFrame, limit: int, least: int) -> DataFrame:

@@ -39,7 +39,7 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_entities(spark: SparkSession, d: str) -> DataFrame:
-    """Each spelling with the id of its canonical spelling."""
+    """Each spelling with the smallest name id of its entity."""
     return names.entities(read_table(spark, d, "name_forms"))
 
 
