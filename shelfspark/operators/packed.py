@@ -9,6 +9,7 @@ frequencies of values and of value shapes from the whole column, and in the end
 picks the likeliest segmentation.
 
 Scale: every pass is one narrow scan with a map-side combiner and a small aggregation.
+Fields without any uncertain separator are counted once; only the others are passed again.
 Only values and shapes with a relative frequency of at least ``theta`` are kept, of which
 there are at most ``1/theta`` whatever the input (pigeonhole); that bounds what is broadcast.
 Rarer values are scored by their shape.  Rows are never grouped, so no key can be hot.
@@ -273,8 +274,14 @@ def expected(s: str, field: str, model: Model | None, into: dict) -> None:
             into[key] = into.get(key, 0.0) + p
 
 
-def _counts(rows: DataFrame, model: Model | None, theta: float) -> Model:
-    """One E-step over all rows and the M-step; at most 1/theta values and shapes of a field come back."""
+def _doubtful():
+    """Fields that may hold an uncertain separator; the counts of all others never change."""
+    word = r"\s(and|AND|And|et|und|y)\s"
+    return F.when(F.col("field") == "author", F.col("packed").rlike(r"[,，&/]|" + word)).otherwise(F.col("packed").rlike(r"[&/]|" + word))
+
+
+def _e_step(rows: DataFrame, model: Model | None) -> DataFrame:
+    """(field, kind, val, n): expected counts over the rows."""
     shared = rows.sparkSession.sparkContext.broadcast(model and model.tables())
 
     def scan(batches):
@@ -296,8 +303,12 @@ def _counts(rows: DataFrame, model: Model | None, theta: float) -> Model:
                 yield flush()
         yield flush()
 
-    got = rows.mapInPandas(scan, "field string, kind string, val string, n double").groupBy("field", "kind", "val").agg(F.sum("n").alias("n"))
-    got = cut(got)
+    return rows.mapInPandas(scan, "field string, kind string, val string, n double").groupBy("field", "kind", "val").agg(F.sum("n").alias("n"))
+
+
+def _m_step(counts: DataFrame, theta: float) -> Model:
+    """The model of the counts; at most 1/theta values and shapes of a field come back."""
+    got = cut(counts.groupBy("field", "kind", "val").agg(F.sum("n").alias("n")))
     totals = {(r.field, r.kind): r.n for r in got.groupBy("field", "kind").agg(F.sum("n").alias("n")).collect()}
     if not totals:
         return Model({}, {}, {})
@@ -317,9 +328,12 @@ def unpack(rows: DataFrame, id: str = "import_id", fields: tuple[str, ...] = ("a
     """(id, field, pos, val): one row per packed value."""
     long = rows.select(id, F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("packed")) for f in fields])).alias("x")).select(id, "x.field", "x.packed")
     long = long.where("packed rlike '[^\\\\s]'")
+    settled = cut(_e_step(long.where(~_doubtful()).select("field", "packed"), None))
+    open_rows = cut(long.where(_doubtful()).select("field", "packed"))
     model = None
     for _ in range(rounds):
-        model = _counts(long.select("field", "packed"), model, theta)
+        model = _m_step(_e_step(open_rows, model).unionByName(settled), theta)
+    discard(settled, open_rows)
     shared = rows.sparkSession.sparkContext.broadcast(model.tables())
     kind = dict(rows.dtypes)[id]
 
