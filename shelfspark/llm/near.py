@@ -187,7 +187,7 @@ def classes(df: DataFrame, id: str, columns: tuple[str, ...], record: Column | N
     return cut(base.mapInPandas(_bag, "row_id bigint, p4 bigint, word_order bigint, bag string, elems array<bigint>, mins array<bigint>, s0 bigint, s1 bigint"))
 
 
-def similar_classes(rows: DataFrame, threshold: float = 0.7, lam: float = 0.65, trees: int = 14, limit: int = 48, max_depth: int = 12) -> DataFrame:
+def similar_classes(rows: DataFrame, threshold: float = 0.7, lam: float = 0.65, trees: int = 28, limit: int = 48, max_depth: int = 12) -> DataFrame:
     """(cid_a, cid_b, similarity) of all classes at least ``threshold`` alike; ``cid`` is the smallest row id of a class."""
     reps = rows.groupBy("bag").agg(F.min_by(F.struct("row_id", "elems", "mins", "s0", "s1"), "row_id").alias("r"))
     reps = cut(reps.select(F.col("r.row_id").alias("cid"), "r.elems", "r.mins", "r.s0", "r.s1"))
