@@ -33,6 +33,21 @@ def p3_loops(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def p3_all_paths(spark: SparkSession, d: str) -> DataFrame:
+    """``p3_paths`` for every collection, those in loops and below them included."""
+    return _tree(spark, d).select("id", "root_id", "depth", "in_loop", F.array_join("path", " > ").alias("path"))
+
+
+def p3_all_descendants(spark: SparkSession, d: str) -> DataFrame:
+    """``p3_descendants`` for every collection; in a loop each member is under each other."""
+    return descendants(_tree(spark, d))
+
+
+def p3_loop_members(spark: SparkSession, d: str) -> DataFrame:
+    """The collections ``p3_loops`` counts, by name."""
+    return _tree(spark, d).where("depth < 0").select("root_id", "id", "in_loop")
+
+
 def _references(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     events = read_table(spark, d, "library_events").select("event_id", F.upper("event_type").alias("kind"), "event_ts", canonical_key(F.col("entry_key")).alias("entry_key"))
     coll = read_table(spark, d, "collections").groupBy("id").agg(F.max(F.struct("modified", "entry_keys")).alias("v"))
@@ -62,7 +77,7 @@ def p7_frequencies(spark: SparkSession, d: str) -> DataFrame:
     return p7_found(spark, d).groupBy("field", "val").agg(F.count(F.lit(1)).alias("n_values"), F.countDistinct("import_id").alias("n_rows"))
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_paths, p3_descendants, p3_loops, p6_found, p6_report, p7_found, p7_frequencies)}
+QUERIES = {f.__name__: f for f in (p3_found, p3_paths, p3_descendants, p3_loops, p3_all_paths, p3_all_descendants, p3_loop_members, p6_found, p6_report, p7_found, p7_frequencies)}
 
 _CLEAN = r"regexp_replace(regexp_replace(lower(regexp_replace({c}, '^[\s{{(]+|[\s}})]+$', '', 'g')), '^(urn:uuid:|collection:)[\s{{(]*', ''), '^([0-9a-f]{{8}})([0-9a-f]{{4}})([0-9a-f]{{4}})([0-9a-f]{{4}})([0-9a-f]{{12}})$', '\1-\2-\3-\4-\5')"
 
@@ -86,6 +101,17 @@ ringed AS (SELECT DISTINCT cid FROM walk WHERE cur_id = cid),
 low AS (SELECT w.cid, min(l.id) AS root_id FROM walk w JOIN ringed r ON w.cur_id = r.cid JOIN link l ON l.cid = w.cur_id GROUP BY 1)
 """
 
+_ALL = _TREE.rstrip() + """,
+up AS (
+  SELECT l.cid, l.id, l.parent, [l.cid] AS seen, l.name AS path, [l.id] AS path_ids FROM looped l
+  UNION ALL
+  SELECT u.cid, u.id, p.parent, list_append(u.seen, p.cid), p.name || ' > ' || u.path, list_prepend(p.id, u.path_ids) FROM up u JOIN looped p ON p.cid = u.parent WHERE NOT list_contains(u.seen, p.cid)),
+every AS (
+  SELECT id, root_id, depth, false AS in_loop, path, path_ids FROM tree
+  UNION ALL
+  SELECT u.id, low.root_id, -1, u.cid IN (SELECT cid FROM ringed), u.path, u.path_ids FROM up u JOIN low ON low.cid = u.cid QUALIFY row_number() OVER (PARTITION BY u.cid ORDER BY len(u.path_ids) DESC) = 1)
+"""
+
 _REFS = r"""
 WITH ev AS (SELECT CAST(event_id AS VARCHAR) AS ref_id, upper(event_type) AS kind, event_ts AS ts,
                    lower(regexp_replace(entry_key, '^\s+|\s+$', '', 'g')) AS entry_key FROM library_events),
@@ -110,6 +136,9 @@ SQL = {
     "p3_paths": _TREE + "SELECT id, root_id, depth, path FROM tree",
     "p3_descendants": _TREE + "SELECT a AS ancestor_id, id AS descendant_id, CAST(depth + 1 - k AS BIGINT) AS distance FROM (SELECT id, depth, unnest(path_ids[1:-2]) AS a, unnest(range(1, len(path_ids))) AS k FROM tree)",
     "p3_loops": _TREE + "SELECT low.root_id, count(r.cid) AS n_members, count(*) - count(r.cid) AS n_below FROM looped l JOIN low ON l.cid = low.cid LEFT JOIN ringed r ON r.cid = l.cid GROUP BY 1",
+    "p3_all_paths": _ALL + "SELECT id, root_id, depth, in_loop, path FROM every",
+    "p3_all_descendants": _ALL + "SELECT a AS ancestor_id, id AS descendant_id, CAST(n - k AS BIGINT) AS distance FROM (SELECT id, len(path_ids) AS n, unnest(path_ids[1:-2]) AS a, unnest(range(1, len(path_ids))) AS k FROM every)",
+    "p3_loop_members": _ALL + "SELECT root_id, id, in_loop FROM every WHERE depth < 0",
     "p6_found": _REFS + "SELECT * FROM found WHERE kind IS NOT NULL",
     "p6_report": _REFS + "SELECT src, period, kind, count(*) AS n_refs, count(DISTINCT entry_key) AS n_keys FROM found WHERE kind IS NOT NULL GROUP BY ALL",
 }

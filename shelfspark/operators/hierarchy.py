@@ -12,7 +12,9 @@ Defined results
   (parent, name) pair
 * a null id is no node and is left out
 * rows in a loop, or whose ancestors run into one: root is the smallest id of the loop,
-  depth is -1, ``in_loop`` tells the two apart
+  depth is -1, ``in_loop`` tells the two apart; the path of a loop node is the whole loop,
+  from its farthest ancestor down to the node, and the path of a node below goes on from
+  that of the loop node it hangs under, whatever the size of the component
 * an empty table gives an empty result; extra columns are ignored
 """
 
@@ -175,24 +177,47 @@ def _walk(pdf):
     return pd.DataFrame({"id": ids, "root_id": [ids[r] for r in root], "depth": depth, "in_loop": loop, "path": path, "path_ids": pids})
 
 
-def _large(nodes: DataFrame, shape: DataFrame) -> DataFrame:
-    """Paths of components too large for one task, by doubling of path pieces."""
-    state = cut(
-        nodes.select(
-            "cid", "id",
-            F.when(F.col("stop"), F.lit(None)).otherwise(F.col("parent")).alias("ptr"),
-            F.array(F.coalesce("name", F.lit(""))).alias("path"), F.array("id").alias("path_ids"),
-        )
-    )
+def _climb(state: DataFrame) -> DataFrame:
+    """Path pieces (cid, top, ptr, path, path_ids) doubled until no pointer is left; ``top`` is the node the path begins with."""
+    state = cut(state)
     while state.where("ptr is not null").limit(1).count():
-        step = state.select(F.col("cid").alias("ptr"), F.col("ptr").alias("p2"), F.col("path").alias("n2"), F.col("path_ids").alias("i2"))
+        step = state.select(F.col("cid").alias("ptr"), F.col("ptr").alias("p2"), F.col("top").alias("t2"), F.col("path").alias("n2"), F.col("path_ids").alias("i2"))
         nxt = cut(
             state.where("ptr is not null").join(step, "ptr")
-            .select("cid", "id", F.col("p2").alias("ptr"), F.concat("n2", "path").alias("path"), F.concat("i2", "path_ids").alias("path_ids"))
+            .select("cid", F.col("t2").alias("top"), F.col("p2").alias("ptr"), F.concat("n2", "path").alias("path"), F.concat("i2", "path_ids").alias("path_ids"))
             .unionByName(state.where("ptr is null"))
         )
         discard(state)
         state = nxt
+    return state
+
+
+def _rings(ring: DataFrame) -> DataFrame:
+    """(top, n_ring, i_ring): the whole loop of every loop node, ending with the parent of the node."""
+    open_at_root = F.when(F.col("cid") != F.col("root"), F.col("parent"))
+    climbed = _climb(_pieces(ring, open_at_root))
+    # the longest path from the root of the loop names all of it; a loop node's place is the length of its own
+    whole = climbed.groupBy("top").agg(F.max_by(F.struct("path", "path_ids"), F.size("path")).alias("w"))
+    k = F.col("k")
+    turned = lambda c: F.concat(F.slice(c, k + 1, F.size(c)), F.slice(c, F.lit(1), k - 1))
+    return climbed.select("cid", "top", F.size("path").alias("k")).join(whole, "top").select(
+        F.col("cid").alias("top"), turned(F.col("w.path")).alias("n_ring"), turned(F.col("w.path_ids")).alias("i_ring")
+    )
+
+
+def _pieces(nodes: DataFrame, ptr: Column) -> DataFrame:
+    return nodes.select("cid", F.col("cid").alias("top"), ptr.alias("ptr"), F.array(F.coalesce("name", F.lit(""))).alias("path"), F.array("id").alias("path_ids"))
+
+
+def _large(big: DataFrame, shape: DataFrame) -> DataFrame:
+    """Paths of components too large for one task, by doubling of path pieces."""
+    state = _climb(_pieces(big, F.when(~F.col("in_loop"), F.col("parent"))))
+    ring = big.where("in_loop")
+    if ring.limit(1).count():
+        none = F.array().cast("array<string>")
+        state = state.join(_rings(ring), "top", "left").select(
+            "cid", F.concat(F.coalesce("n_ring", none), "path").alias("path"), F.concat(F.coalesce("i_ring", none), "path_ids").alias("path_ids")
+        )
     return state.join(shape, "cid").select("id", F.col("root_name").alias("root_id"), "depth", "in_loop", "path", "path_ids")
 
 
@@ -214,9 +239,7 @@ def hierarchy(rows: DataFrame, id: str = "id", parent: str = "parent_id", name:
         big = placed.where(F.col("size") > max_component)
         roots = links.select(F.col("cid").alias("root"), F.col("id").alias("root_name"))
         big = cut(big)
-        # paths of a large component end at its loop
-        nodes = big.withColumn("stop", F.col("parent").isNull() | (F.col("looped") & F.col("in_loop")))
-        out = out.unionByName(_large(nodes, big.join(roots, "root").select("cid", "root_name", "depth", "in_loop")))
+        out = out.unionByName(_large(big, big.join(roots, "root").select("cid", "id", "root_name", "depth", "in_loop")))
     return out
 
 

@@ -78,3 +78,23 @@ def test_spellings_ties_nulls(spark):
 
 def test_empty(spark):
     assert run(spark, []).count() == 0
+
+
+def test_paths_in_and_below_loops(spark):
+    parents = {"a": "c", "b": "a", "c": "b", "d": "b", "e": "d", "f": "f", "r": None, "s": "r"}
+    for most in (100_000, 1):  # in one task, and too large for one
+        tree = run(spark, rows(parents), max_component=most).cache()
+        got = {r.id: "".join(r.path_ids) for r in tree.collect()}
+        assert got == {"a": "bca", "b": "cab", "c": "abc", "d": "cabd", "e": "cabde", "f": "f", "r": "r", "s": "rs"}
+        assert {r.id: [n[-1] for n in r.path] for r in tree.collect()} == {k: list(v) for k, v in got.items()}
+        pairs = {(r.ancestor_id, r.descendant_id) for r in descendants(tree).collect()}
+        assert pairs == {(x, y) for x in "abc" for y in "abcde" if x != y} | {("d", "e"), ("r", "s")}
+
+
+def test_every_collection_has_a_path(spark, data):
+    from shelfspark.catalog import problems
+
+    ids = {r.id for r in problems.p3_found(spark, data).collect()}
+    assert {r.id for r in problems.p3_all_paths(spark, data).collect()} == ids
+    looped = {r.id for r in problems.p3_found(spark, data).where("depth < 0").collect()}
+    assert {r.id for r in problems.p3_loop_members(spark, data).collect()} == looped
