@@ -118,6 +118,37 @@ add("ddp09_action", lambda s, d: Q.duplicate_groups(records(s, d)).select("first
 add("agg23_dedupe_summary", lambda s, d: Q.duplicate_groups(records(s, d)).agg(F.count(F.lit(1)).alias("groups"), F.sum(F.col("n") - 1).alias("surplus")), _TAY + "SELECT count(*) AS groups, CAST(sum(n - 1) AS BIGINT) AS surplus FROM grp")
 add("ddp11_import_probe", lambda s, d: _probe(s, d), R + r"SELECT n.row_id FROM (SELECT row_id, regexp_replace(lower(trim(doi)), '^(https?://doi\.org/|https?://dx\.doi\.org/|doi:)', '') AS k FROM r WHERE year >= 2015 AND doi <> '') n WHERE k IN (SELECT regexp_replace(lower(trim(doi)), '^(https?://doi\.org/|https?://dx\.doi\.org/|doi:)', '') FROM r WHERE year < 2015 AND doi <> '')")
 
+_ALIKE = _TAY.rstrip() + """,
+al AS (SELECT row_id, key, 'doi' AS field, 'warning' AS severity, doi_key AS shared FROM dk WHERE doi_key IS NOT NULL
+  UNION ALL SELECT row_id, key, '', 'info', tay_key FROM dk WHERE row_id IN (SELECT row_id FROM r WHERE title <> '' AND author <> '' AND year <> 0)),
+wn AS (SELECT row_id, key, field, severity, shared, count(*) OVER (PARTITION BY field, shared) - count(*) OVER (PARTITION BY field, shared, key) AS others FROM al QUALIFY others > 0)
+"""
+add("ddp12_all_warnings", lambda s, d: _alike(s, d), _ALIKE + "SELECT row_id, key, field, severity, shared, others FROM wn")
+add("ddp13_warning_keys", lambda s, d: _alike(s, d).select("field", "shared", "key").distinct(), _ALIKE + "SELECT DISTINCT field, shared, key FROM wn")
+add("val21_all_duplicates", lambda s, d: _validated_all(s, d), _ALIKE.rstrip() + ", iss AS (" + " UNION ALL ".join(_RULES) + ") SELECT rule, severity, count(*) AS n FROM (SELECT rule, severity FROM iss UNION ALL SELECT CASE field WHEN 'doi' THEN 'duplicate doi' ELSE 'possible duplicate' END, severity FROM wn) GROUP BY ALL")
+
+
+def _alike(s, d):
+    """Records sharing a doi (warning) or title, authors and year (info) with records of another key, and how many those are.
+
+    The other keys are those of the same ``shared`` value in ``ddp13_warning_keys``: named once for each value, not once for each pair.
+    """
+    r = records(s, d)
+    whole = r.where("title != '' and author != '' and year != 0")
+    k = Q.duplicate_keys(r).where("doi_key is not null").select("row_id", "key", F.lit("doi").alias("field"), F.lit("warning").alias("severity"), F.col("doi_key").alias("shared")).unionByName(
+        Q.duplicate_keys(whole).select("row_id", "key", F.lit("").alias("field"), F.lit("info").alias("severity"), F.col("tay_key").alias("shared"))
+    )
+    own = k.groupBy("field", "shared", "key").agg(F.count(F.lit(1)).alias("own"))
+    total = own.groupBy("field", "shared").agg(F.sum("own").alias("total"))
+    others = own.join(total, ["field", "shared"]).where("total > own").select(F.col("field").alias("f"), F.col("shared").alias("v"), F.col("key").alias("k"), (F.col("total") - F.col("own")).alias("others"))
+    on = (F.col("field") == F.col("f")) & (F.col("shared") == F.col("v")) & F.col("key").eqNullSafe(F.col("k"))
+    return k.join(others, on).select("row_id", "key", "field", "severity", "shared", "others")
+
+
+def _validated_all(s, d):
+    dup = _alike(s, d).select(F.when(F.col("field") == "doi", "duplicate doi").otherwise("possible duplicate").alias("rule"), "severity")
+    return Q.issues(records(s, d)).select("rule", "severity").unionByName(dup).groupBy("rule", "severity").agg(F.count(F.lit(1)).alias("n"))
+
 
 def _warnings(s, d):
     """Counts of the other records with one's doi: aggregated first and joined back, so a hot doi is no hot window."""
