@@ -12,8 +12,12 @@ from ..operators import engine as E
 from ..operators import quality as Q
 from ..operators import relations as J
 from ..operators import search as S
+from ..operators.hierarchy import hierarchy
+from ..operators.windows import global_rank
+from ..plans import read_table
 from ..plans.session import stage_dir
 from ..sources import bibliography as B
+from .problems import _ALL
 from .quality import _TAY
 from .records import SQL_RECORDS as R
 from .records import by_key, collections, events, metadata, notes, records, sessions
@@ -50,6 +54,7 @@ add("src29b_yaml_lines", lambda s, d: records(s, d).select("row_id", F.split(X.y
 add("prj07_auto_key", lambda s, d: records(s, d).where("author != '' and title != ''").select("row_id", F.concat(F.lower(F.regexp_replace(T.unaccent(T.last_name(F.trim(F.substring_index("author", " and ", 1)))), "[^A-Za-z]", "")), F.coalesce(F.col("year").cast("string"), F.lit("")), F.coalesce(F.try_element_at(F.filter(T.tokens(F.col("title")), lambda w: ~w.isin("a", "an", "the")), F.lit(1)), F.lit(""))).alias("new_key")))
 add("prj14_document", lambda s, d: records(s, d).select("row_id", F.size(T.tokens(F.col("abstract"))).cast("bigint").alias("n_tokens"), F.size(T.people(F.col("author"))).cast("bigint").alias("n_authors")), R + r"SELECT row_id, len(regexp_extract_all(lower(abstract), '[\p{L}\p{N}_]+')) AS n_tokens, len(list_filter(list_transform(regexp_split_to_array(coalesce(author, ''), '\s+and\s+'), lambda x: trim(x)), lambda x: x <> '')) AS n_authors FROM r")
 add("join13_parent_names", lambda s, d: _parents(s, d), R + "SELECT c.id, p.coll_name AS parent_name FROM coll c JOIN coll p ON lower(trim(c.parent_id)) = p.id")
+add("join17_parent_paths", lambda s, d: hierarchy(read_table(s, d, "collections")).select("id", F.array_join("path", " > ").alias("path")), _ALL + "SELECT id, path FROM every")
 add("agg11_search_facets", lambda s, d: E.Service(records(s, d)).search("kriging").facets, RK + " , hit AS (SELECT * FROM rk WHERE " + _has("kriging") + ") " + " UNION ALL ".join(f"SELECT '{f}' AS field, CAST({f} AS VARCHAR) AS value, count(*) AS n FROM hit WHERE CAST({f} AS VARCHAR) <> '' GROUP BY 2" for f in ("type", "year", "journal")))
 add("srt09_alpha_key", lambda s, d: records(s, d).where("author != ''").select("row_id", F.regexp_extract("key", r"^(.*?)(\d{2,4})", 1).alias("stem"), F.regexp_extract("key", r"^(.*?)(\d{2,4})", 2).alias("digits")), R + r"SELECT row_id, regexp_extract(key, '^(.*?)(\d{2,4})', 1) AS stem, regexp_extract(key, '^(.*?)(\d{2,4})', 2) AS digits FROM r WHERE author <> ''")
 add("srt11_index_top", lambda s, d: S.simple_index(S.postings(S.searchable(records(s, d))), "otter comet").orderBy(F.desc("score"), "row_id").limit(20).select("row_id"), _POST + "SELECT row_id FROM post WHERE term IN ('otter', 'comet') GROUP BY 1 ORDER BY sum(tf) / 2 DESC, row_id LIMIT 20")
@@ -175,4 +180,15 @@ add("crud36_batches", lambda s, d: records(s, d).groupBy(F.floor((F.col("row_id"
 add("crud39_from_map", lambda s, d: records(s, d).select("row_id", F.from_json(F.to_json(F.struct("key", "year")), "key string, year int").alias("m")).select("row_id", "m.key", "m.year"), R + "SELECT row_id, key, year FROM r")
 add("crud42_single_entry", lambda s, d: _store(s, by_key(s, d).where("type = 'misc'"), lambda df, p: B.write_text(df, X.bibtex(), p), lambda p: B.read_bibtex(s, p)).select("key", "type"), R + "SELECT trim(key) AS key, type FROM k WHERE type = 'misc'")
 add("wf08_tree", lambda s, d: s.createDataFrame(E.tree_rows({"A": {"B": {"C": None}}, "D": None}), "name string, parent string"), "SELECT * FROM (VALUES ('A', NULL), ('B', 'A'), ('C', 'B'), ('D', NULL)) t(name, parent)")
+add("wf10_collection_tree", lambda s, d: _listed(s, d), _ALL + "SELECT row_number() OVER (ORDER BY path_ids) AS place, every.id, l.name, p.id AS parent, depth FROM every JOIN link l ON l.id = every.id LEFT JOIN link p ON p.cid = l.parent")
 add("fmt09_report_rows", lambda s, d: Q.issues(records(s, d)).groupBy("severity").agg(n_()))
+
+
+def _listed(s, d):
+    """All collections in depth-first order, siblings by id: a path of ids sorts right after those it begins with.
+
+    A loop has no top, so each of its members is listed with what hangs below it.
+    """
+    t = hierarchy(read_table(s, d, "collections"))
+    parent = F.when(F.size("path_ids") > 1, F.try_element_at("path_ids", F.lit(-2))).when(F.col("in_loop"), F.col("id"))
+    return global_rank(t.select("id", F.element_at("path", -1).alias("name"), parent.alias("parent"), "depth", "path_ids"), ["path_ids"]).drop("path_ids")
