@@ -112,7 +112,7 @@ def _u():
     return udfs
 
 
-for _name, _words, _phrases, _most in (("hl03_terms", ["otter"], (), 10_000), ("hl04_phrases", [], ("drawn from",), 10_000), ("hl06_merged", ["otter", "otters"], ("otter",), 10_000), ("hl07_snippet", ["otter"], (), 80), ("hl09_best", ["otter", "comet"], (), 120)):
+for _name, _words, _phrases, _most in (("hl03_terms", ["otter"], (), None), ("hl04_phrases", [], ("drawn from",), None), ("hl06_merged", ["otter", "otters"], ("otter",), None), ("hl07_snippet", ["otter"], (), 80), ("hl09_best", ["otter", "comet"], (), 120)):
     add(_name, lambda s, d, w=_words, p=_phrases, m=_most: records(s, d).where("abstract is not null").select("row_id", _u().marked(w, p, m)(F.col("abstract")).alias("value")))
 add("hl05_wildcards", lambda s, d: records(s, d).select("row_id", F.regexp_replace("title", r"(?i)\b(archiv\w*)", "<mark>$1</mark>").alias("title")), R + r"SELECT row_id, regexp_replace(title, '(?i)\b(archiv\w*)', '<mark>\1</mark>', 'g') AS title FROM r")
 add("hl08_tags", lambda s, d: records(s, d).select("row_id", S.highlight(F.col("title"), ["the"], "em").alias("title")), R + "SELECT row_id, regexp_replace(title, '(?i)the', '<em>the</em>', 'g') AS title FROM r")

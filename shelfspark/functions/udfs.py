@@ -214,17 +214,19 @@ def snippet(text: str, found: list[tuple[int, int, float]], most: int = 200) ->
     return text[start : start + most], start
 
 
-def marked(words: list[str], phrases: tuple[str, ...] = (), most: int = 200, tag: str = "mark"):
+def marked(words: list[str], phrases: tuple[str, ...] = (), most: int | None = 200, tag: str = "mark"):
+    """Hits in tags, in the best stretch of ``most`` letters or, without a limit, in the whole text."""
+
     @F.pandas_udf(T.StringType())
     def run(s: pd.Series) -> pd.Series:
         def one(x):
             if not isinstance(x, str):
                 return None
-            piece, start = snippet(x, spans(x, words, phrases), most)
+            piece, start = (x, 0) if most is None else snippet(x, spans(x, words, phrases), most)
             out = piece
             for a, b, _ in reversed(spans(piece, words, phrases)):
                 out = out[:a] + f"<{tag}>" + out[a:b] + f"</{tag}>" + out[b:]
-            return ("..." if start else "") + out + ("..." if start + most < len(x) else "")
+            return ("..." if start else "") + out + ("..." if start + len(piece) < len(x) else "")
 
         return s.map(one)
 
