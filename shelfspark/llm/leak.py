@@ -17,7 +17,8 @@ scan for each block and never shuffled; documents are not grouped, so no key can
 Defined results
 * case, punctuation, line breaks, hyphenation and sentence order do not matter
 * a gap of at most ``GAP`` changed words between shared shingles counts as covered
-* null and blank texts leak nothing; items shorter than a shingle are compared whole
+* null and blank texts leak nothing; an item shorter than a shingle is searched as a whole, and
+  one whose third is shorter by word sequences of that length, both exactly and without sketches
 * repeated documents are each reported; an empty table gives an empty result; extra columns are ignored
 """
 
@@ -77,18 +78,23 @@ def _mix(x):
     return x ^ (x >> np.uint64(31))
 
 
-def _shingles(h):
+def reach(length: int) -> int:
+    """Words in a shingle for an item of that length: never more than what has to be found of it."""
+    return length if length < SHINGLE else min(SHINGLE, -(-length // 3))
+
+
+def _shingles(h, size: int = SHINGLE):
     """Hash of the shingle that starts at each word."""
     import numpy as np
 
-    k = min(SHINGLE, len(h))
+    k = min(size, len(h))
     out = np.zeros(max(0, len(h) - k + 1), dtype=np.uint64)
     for j in range(k):
         out = _mix(out ^ h[j : j + len(out)])
     return out
 
 
-def covered(item, doc_at, doc_words: int, span: int) -> float:
+def covered(item, doc_at, doc_words: int, span: int, size: int = SHINGLE) -> float:
     """
     The largest share of an item's words that shared shingles cover within ``span`` words of a document.
     item: shingle -> starts in the item; doc_at: [(start in the document, starts in the item)] in order.
@@ -113,8 +119,8 @@ def covered(item, doc_at, doc_words: int, span: int) -> float:
             if at is not None and 0 < gap <= GAP and abs((got[i] - at[1]) - (i - at[0])) <= GAP:
                 words += gap  # a few changed words
                 end = i
-            words += max(0, i + SHINGLE - max(end, i))
-            end = max(end, i + SHINGLE)
+            words += max(0, i + size - max(end, i))
+            end = max(end, i + size)
             at = (i, got[i])
         best = max(best, min(words, length))
     return best / length
@@ -128,16 +134,21 @@ class Index:
 
         self.seeds = _mix(np.arange(1, permutations + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
         self.ids, self.lengths, self.where, self.keys, self.owner, self.sizes = [], [], [], {}, {}, []
+        self.short: dict[int, dict[int, set[int]]] = {}
         parts: dict[int, list[tuple[np.ndarray, int]]] = {}
         for n, (i, words) in enumerate(items):
-            sh = _shingles(_hashes(words))
+            near = reach(len(words))
+            sh = _shingles(_hashes(words), near)
             self.ids.append(i)
             self.lengths.append(max(1, len(words)))
             at: dict[int, list[int]] = {}
             for k, s in enumerate(sh.tolist()):
                 at.setdefault(s, []).append(k)
             self.where.append(at)
-            if len(sh):
+            if near < SHINGLE:
+                for s in at:
+                    self.short.setdefault(near, {}).setdefault(s, set()).add(n)
+            elif len(sh):
                 size = max(16, 1 << (len(words) - 1).bit_length())
                 parts.setdefault(size, []).append((self.minwise(sh), n))
         for size, got in sorted(parts.items()):
@@ -156,7 +167,8 @@ class Index:
         words = tokens(text)
         if not words:
             return []
-        sh = _shingles(_hashes(words))
+        h = _hashes(words)
+        sh = _shingles(h)
         n = len(sh)
         cand: set[int] = set()
         for size, keys in self.keys.items():
@@ -176,6 +188,14 @@ class Index:
                 doc_at = [(d, at[s]) for d, s in enumerate(places) if s in at]
                 share = covered(self.lengths[c], doc_at, len(words), 2 * self.lengths[c])
                 out.append((self.ids[c], share))
+        for size, owners in self.short.items():
+            if len(words) < size:
+                continue
+            places = [(d, s) for d, s in enumerate(_shingles(h, size).tolist()) if s in owners]
+            for c in set().union(*(owners[s] for _, s in places)):
+                at = self.where[c]
+                doc_at = [(d, at[s]) for d, s in places if s in at]
+                out.append((self.ids[c], covered(self.lengths[c], doc_at, len(words), 2 * self.lengths[c], size)))
         return out
 
 
