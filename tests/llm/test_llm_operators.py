@@ -4,6 +4,7 @@ import datetime
 import itertools
 import random
 import re
+import time
 from collections import Counter
 
 import pytest
@@ -194,21 +195,67 @@ def test_leaks(spark):
     assert find(spark, [], items) == set() and find(spark, docs, []) == set()
 
 
+def most_held(item, doc):
+    """The share of an item's words that five-word sequences of one place of a document cover; plain loops."""
+    n, best = len(item), 0
+    places = {}
+    for i in range(n - 4):
+        places.setdefault(tuple(item[i : i + 5]), []).append(i)
+    hits = [(d, i) for d in range(len(doc) - 4) for i in places.get(tuple(doc[d : d + 5]), ())]
+    held = [(d, i + k) for d, i in hits for k in range(5)]
+    at = sorted({d for d, _ in hits})
+    for x, y in zip(at, at[1:]):  # neighbours in the document, about as far apart in the item
+        held += [(y, w) for d, i in hits if d == x for e, j in hits if e == y and 0 < j - i - 5 <= leak.GAP and abs(j - i - y + x) <= leak.GAP and y - x > 1 for w in range(i + 5, j)]
+    for lo in at:
+        best = max(best, len({w for d, w in held if lo <= d <= lo + 2 * n}))
+    return best / n
+
+
 def test_leaks_against_brute_force(spark, data):
-    """Without the MinHash step: every item against every document."""
+    """Every item against every document, without numbers, sketches or windows of set sizes."""
     docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{data}/documents.parquet").collect()]
     items = [(r.item_id, r.text) for r in spark.read.parquet(f"{data}/eval_items.parquet").collect()]
-    shared = leak.instructions([t for _, t in items])
-    index = leak.Index([(i, leak.without_instruction(t, shared)) for i, t in items])
-    want = set()
-    for d, t in docs:
-        places = leak._shingles(leak._hashes(leak.tokens(t or ""))).tolist() if leak.tokens(t or "") else []
-        for n, at in enumerate(index.where):
-            hits = [(k, at[s]) for k, s in enumerate(places) if s in at]
-            if leak.covered(index.lengths[n], hits, len(places), 2 * index.lengths[n]) >= leak.THIRD:
-                want.add((d, index.ids[n]))
-    got = find(spark, docs, items)
-    assert got <= want and len(got) >= 0.98 * len(want)
+    leads = Counter(" ".join(leak.opening(t)) for _, t in items)
+    want = {}
+    for i, t in items:
+        lead = leak.opening(t)
+        words = leak.tokens(t)
+        words = words[len(lead) :] if lead and leads[" ".join(lead)] >= 3 else words
+        for d, text in docs:
+            if text and (share := most_held(words, leak.tokens(text))) >= leak.THIRD:
+                want[d, i] = share
+    d = spark.createDataFrame(docs, "doc_id bigint, text string")
+    q = spark.createDataFrame(items, "item_id bigint, text string")
+    got = {(r.doc_id, r.item_id): r.share for r in leak.leaks(d, q).collect()}
+    assert set(got) <= set(want) and len(got) >= 0.98 * len(want)
+    assert all(got[k] == pytest.approx(want[k]) for k in got)
+
+
+def test_most_covered_against_brute_force():
+    rnd = random.Random(3)
+    for _ in range(200):
+        item = [rnd.choice("abcd") + str(rnd.randrange(rnd.choice([1, 3, 9]))) for _ in range(rnd.randint(15, 40))]
+        doc = [rnd.choice(item) if rnd.random() < 0.1 else "z" for _ in range(40)]
+        for _ in range(rnd.randint(0, 8)):
+            a = rnd.randrange(len(item))
+            k = rnd.randrange(len(doc))
+            doc[k:k] = item[a : a + rnd.randint(3, 20)]
+        got = dict(leak.Index([(1, item)]).search(" ".join(doc)))
+        assert got.get(1, 0.0) == pytest.approx(most_held(item, doc))
+
+
+def test_repetitive_and_many_items(spark):
+    began = time.perf_counter()
+    assert dict(leak.Index([(1, ["same"] * 400)]).search("same " * 3000)) == {1: 1.0}
+    assert time.perf_counter() - began < 0.1
+    # an instruction of any length, and items in blocks of a few words each
+    lead = "Read this " + "very " * 120 + "carefully:"
+    items = [(k, f"{lead} {passage(k)}") for k in range(5)]
+    docs = [(1, lead + " nothing else is here"), (2, passage(3)), (3, lead + " " + passage(4))]
+    for block in (1, 100, 10_000):
+        d = spark.createDataFrame(docs, "doc_id bigint, text string")
+        q = spark.createDataFrame(items, "item_id bigint, text string")
+        assert {(r.doc_id, r.item_id) for r in leak.leaks(d, q, block=block).collect()} == {(2, 3), (3, 4)}
 
 
 # problem 9
