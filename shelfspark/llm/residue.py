@@ -1,11 +1,21 @@
 """Template residue and error-page text (problem 10).
 
-Method: a multi-pattern automaton finds anchors of template marks, filler, error messages and
-script notices in several languages.  Only where an anchor was hit is the place verified:
-the verified spans are marked, and a segment (sentence or line) counts when its marked share
-is high enough; marks that no prose contains count wherever they stand.  A segment that only
-speaks of such texts, or quotes them, does not count.  A document is excluded when a segment
-counts or when the marked share of the whole document is high.
+Method: a multi-pattern automaton holds phrases of error messages, filler and script notices in
+several languages, and the opening signs of template marks.  It runs over a text once.  Where
+it hit, the segment (a sentence or line, or what follows from a capital letter that begins a
+message in the midst of one) is taken as words and matched with the automaton of whole
+phrases; the share of its words that phrases cover decides whether the segment is residue.  An
+unfilled mark leaves a hole in its segment, so it makes all of it residue.  Keyboard walks and
+words repeated over and over cover themselves.  A document is excluded when residue segments
+cover at least ``document_share`` of it.
+
+The default ``document_share`` of 0 excludes a document for any residue segment, because
+residue among real text counts too; the share is reported, so a caller may ask for more.
+
+What only speaks of such texts does not count: a phrase or mark in quotation marks, in
+formulas or bibliographic notation, or directly before or after words that name it as an
+example ("such as", "stands for"); a phrase that is a small part of its sentence does not
+cover it.
 
 Filler words beyond the known ones are learned from the whole collection: words that often
 occur in documents with two or more known filler words.  A word is kept only if at least ``THETA`` of
@@ -15,13 +25,18 @@ Scale: two narrow scans and one small aggregation; no document is grouped with a
 
 Defined results
 * null and blank texts are never excluded
-* whole texts of any length are scanned; repeated documents are judged alike
+* whole texts of any length are scanned, marks and quotations of any length are known; repeated documents are judged alike
 * an empty table gives an empty result; extra columns are ignored
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
+from functools import cache
+from http import HTTPStatus
+from itertools import product
+from operator import eq
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -29,183 +44,310 @@ from pyspark.sql import functions as F
 from ..plans import cut, discard
 
 THETA = 0.02
-SEGMENT_SHARE = 0.2
-DOCUMENT_SHARE = 0.3
-
-#: Template marks: pattern for a whole mark.
-MARKS = [
-    r"(?<!\{)\{\{\s?[A-Za-z_][\w. ]{0,40}?\s?\}\}(?!\})", r"(?<![\w}_^])\{[a-z]+(?:_[a-z]+)+\}", r"(?<![\w}_^\\])\{\d\}", r"[$#]\{[A-Za-z_][\w.]*\}", r"<<[A-Za-z_][\w.]*>>", r"\[\[[A-Za-z][\w .]{0,40}\]\]",
-    r"@@[A-Za-z_][\w.]*@@", r"%[A-Z][A-Z_]{2,}%", r"\b__[A-Z][A-Z_]*[A-Z]__\b|(?<!\w)__[A-Z][A-Z_]*__(?!\w)", r"<%=?\s*[\w.]+\s*%>", r"<[A-Z]{3,}(?: [A-Z]+){0,4}>",
-    r"<(?:[a-z]+ ){1,4}(?:here|name|title|date|text|goes here)>", r"\[[A-Z]{4,}(?: [A-Z]+){0,4}\]", r"\[(?:add|insert|enter|your|type)\b[\w ]{2,40}\]", r"\[[\w ]{2,40} (?:here|name|to be inserted|goes here)\]",
-    r"\bTODO\b:? ?\w[\w ]{2,60}", r"\bFIXME\b:? ?\w[\w ]{2,60}", r"\bX{3,} \([\w ]{3,40}\)",
+SEGMENT_SHARE = 0.4
+NOISE_SHARE = 0.3
+
+# Template marks: what they begin with, and the whole mark from there.
+FIELD = r"(?i:name|title|date|year|author|editor|journal|publisher|place|pages?|volume|number|doi|isbn|issn|url|abstract|text|key|address|e?mail|phone|company|insert|your|here|add|enter|citation|summary|subject|topic|titel|datum|jahr|autor|auteur|nom|titre|ann[ée]e|nombre|t[ií]tulo|fecha|nome|titolo|data|anno)"
+MARKS = {
+    "{{": [r"(?<!\{)\{\{\s?[A-Za-z_][\w. ]*\}\}(?!\})"],
+    "{": [r"(?<![\w{}_^\\$#])\{[a-z]+(?:_[a-z]+)+\}", r"(?<![\w{}_^\\$#])\{\d\}"],
+    "${": [r"\$\{[A-Za-z_][\w.]*\}"],
+    "#{": [r"#\{[A-Za-z_][\w.]*\}"],
+    "<<": [r"<<[A-Za-z_][\w.]*>>"],
+    "[[": [r"\[\[[A-Za-z][\w .]*\]\]"],
+    "@@": [r"@@[A-Za-z_][\w.]*@@"],
+    "%": [r"%[A-Z][A-Z_]{2,}%"],
+    "__": [r"(?<!\w)__[A-Z][A-Z_]*__(?!\w)"],
+    "<%": [r"<%=?\s*[\w.]+\s*%>"],
+    "<": [rf"<(?=[^<>]*\b{FIELD}\b)(?:[A-Z]{{3,}}(?: [A-Z]+)*|(?:[a-z]+ )+(?:here|name|title|date|text))>", rf"<{FIELD}>(?<=[A-Z]>)"],
+    "[": [rf"\[(?=[^\[\]]*\b{FIELD}\b)(?:[A-Z]+(?: [A-Z]+)*|(?:add|insert|enter|your|type)\b[\w ]+|[\w ]+ (?:here|name|to be inserted))\]"],
+    "todo": [r"\bTODO\b:? ?\w[\w ]+"],
+    "fixme": [r"\bFIXME\b:? ?\w[\w ]+"],
+    "xxx": [r"(?<!X)X{3,} \([\w ]+\)"],
+}
+
+
+def _all(*parts: str) -> list[str]:
+    """Every way of putting one of each part together; the alternatives of a part are divided by a bar."""
+    return [" ".join(" ".join(x).split()) for x in product(*(p.split("|") for p in parts))]
+
+
+# Phrases are words in lower case; #code is a number from 400 to 599, # any other number, #path an address or file, #fault the name of a program error.
+ERRORS = [
+    *_all("error|http|status|status code|http error|error code|fehler|fehlercode|erreur|errore|erro|fout|estado|stato", "#code"),
+    *[f"#code {x.phrase.lower().replace('-', ' ')}" for x in HTTPStatus if x.value >= 400], *_all("#code", "error|page not found"),
+    *[x.phrase.lower() for x in HTTPStatus if x.value in (404, 429, 500, 502, 503, 504)],
+    *_all("page|file|record|item|document|resource|title|entry", "not found|could not be found|cannot be found|was not found"), *_all("could not be found on|cannot be served on", "#path"),
+    *_all("seite|datensatz|katalogeintrag|eintrag|dokument|titel|datei", "nicht gefunden|wurde nicht gefunden"), *_all("page|fiche|notice|document|ressource", "introuvable|non trouvée|non trouvé"),
+    *_all("página|ficha|registro|documento|recurso", "no encontrada|no encontrado"), *_all("pagina|scheda|documento|risorsa", "non trovata|non trovato"), *_all("página|documento|registro", "não encontrada|não encontrado"), "pagina niet gevonden",
+    *_all("interner serverfehler|erreur interne du serveur|error interno del servidor|errore interno del server|erro interno do servidor|interne serverfout"),
+    *_all("access|permission", "denied"), *_all("zugriff verweigert|accès refusé|acceso denegado|accesso negato|acesso negado|toegang geweigerd"),
+    *_all("gateway|proxy|fatal|server|application|database|internal", "error"), "bad response", *_all("the server at #path", "|closed the connection|is down|returned|refused|did not answer|reset the connection"),
+    *_all("unhandled exception|exception in thread|traceback most recent call last|#fault|stack trace|segmentation fault|core dumped"), *_all("in #path", "on line #|line #"), "#path line #",
+    *_all("has sent|have sent|", "too many requests"), *_all("automated access", "was|has been", "detected"),
+    *_all("session|login|link|token", "has expired|expired|timed out|has timed out|is no longer valid"), *_all("sitzung ist abgelaufen|session a expiré|sesión ha caducado|sessione è scaduta|sessão expirou"),
+    *_all("hit a snag|did not work|went wrong|broke|failed", "on our", "server|side|end"), *_all("something|etwas", "went wrong|ist schiefgelaufen"),
+    *_all("download|transfer|upload|request|login|import|export|loading", "failed|aborted"), *_all("cannot open", "file|page|record|database|the file|the page"),
+    *_all("we", "failed to|were unable to|could not", "retrieve|load|open|find|display|fetch|process"), *_all("you are looking for|you requested|you were looking for", "has been|does not|no longer|is no longer|cannot|could not|was"),
+    "nothing here", *_all("you", "lack permission|do not have permission"),
+    *_all("this|the requested", "item|page|title|volume|record|scan|abstract|entry|document|file|resource|full text", "has been|was", "moved|deleted|renamed|removed|withdrawn"),
+    *_all("retry in #", "minutes|seconds|hours"), "try again later", *_all("später erneut versuchen|réessayez plus tard|inténtelo más tarde|riprova più tardi"), *_all("request id|incident id|reference id", "#|#path"),
+    *_all("connection|upstream|backend|service", "timed out|did not answer|was reset|was refused|failed", "while", "loading|opening|fetching|reading"),
 ]
-MARK_ANCHORS = ["{{", "{", "${", "#{", "<<", "[[", "@@", "%", "__", "<%", "<", "[", "todo", "fixme", "xxx"]
-#: Filler phrases.
-FILLER = [
-    "lorem ipsum", "dolor sit amet", "consectetur adipiscing", "texte de remplissage", "faux texte", "texte d'exemple", "beispieltext", "platzhaltertext", "blindtext", "mustertext", "texto de relleno", "texto de ejemplo", "texto de prueba", "texto simulado",
-    "placeholder paragraph", "placeholder text", "replace before publishing", "dummy text for", "this is dummy text", "sample abstract text", "sample text goes here", "text goes here", "your text here", "insert text here",
+NEAR_ERRORS = [
+    *_all("critical|warning|fatal|severe|sorry|hmm|oops|reading|#path|code #|code #code|return to the|if this continues|write to the help desk|under this address|unknown table|out of memory|could not be read|is damaged|is empty|on our|while loading|while opening|while fetching|while reading"),
+    *_all("this|the|the requested|your", "page|item|record|document|file|title|full text|address|request"), *_all("your address", "has sent"), *_all("is", "invalid|missing|damaged|empty"), "an invalid response", "your request", "no item", "in #path",
 ]
-LATIN = {"lorem", "ipsum", "dolor", "amet", "consectetur", "adipiscing", "elit", "eiusmod", "tempor", "incididunt", "labore", "magna", "aliqua", "veniam", "nostrud", "exercitation", "ullamco", "laboris", "aliquip", "commodo", "consequat"}
-ROWS = ("qwertyuiop", "asdfghjkl", "asdfghjklö", "zxcvbnm", "qwertzuiop", "yxcvbnm", "azertyuiop", "qsdfghjklm", "wxcvbn")
-#: Error messages: (anchor in lower case, pattern that must match around it).
-ERRORS = [
-    ("error", r"\b(?:Error|ERROR) [45]\d\d\b"), ("status", r"\bStatus(?: code)?:? [45]\d\d\b"), ("http", r"\bHTTP(?:/\d\.\d)? (?:error )?[45]\d\d\b"), ("fehler", r"\bFehler(?:code)?:? [45]\d\d\b"), ("erreur", r"\bErreur [45]\d\d\b"),
-    ("forbidden", r"\b[45]\d\d\W{1,3}Forbidden"), ("not found", r"\b[45]\d\d\W{1,3}Not Found"), ("unavailable", r"\b[45]\d\d\W{1,3}Service Unavailable|^\W*Service Unavailable"), ("internal server error", r"\b[45]\d\d\W{1,3}Internal Server Error|^\W*Internal Server Error"), ("bad gateway", r"\b(?:[45]\d\d\W{1,3})?Bad Gateway"), ("gone", r"\b[45]\d\d\W{1,3}Gone\b"),
-    ("gateway error", r"\bGateway [Ee]rror:"), ("proxy error", r"\bProxy [Ee]rror:"), ("fatal error", r"\bFatal error:"), ("server error", r"\bServer [Ee]rror:"), ("the server at", r"the server at \S+ (?:closed|is down|returned|refused|did not|reset)"),
-    ("exception", r"\bUnhandled exception:|\bException in thread\b|\b[A-Z]\w*Exception:"), ("traceback", r"\bTraceback \(most recent call last\)"), ("error:", r"\b[A-Z][a-z]+Error: "), ("at \"", r"\n\s*(?:at|File) \"[^\"\n]+\", line \d+"),
-    ("access denied", r"\bAccess denied\b[.!:]"), ("permission denied", r"\bPermission denied\b[.!:]"), ("zugriff verweigert", r"Zugriff verweigert"), ("accès refusé", r"Accès refusé"), ("acceso denegado", r"Acceso denegado"),
-    ("too many requests", r"\bToo many requests\.|has sent too many requests"), ("automated access", r"Automated access was detected"),
-    ("session", r"\b(?:Your|This|The) session (?:has expired|expired|timed out|has timed out|is no longer valid)"), ("login", r"\b(?:Your|This|The) login (?:has expired|expired|timed out|has timed out|is no longer valid)"),
-    ("serverfehler", r"Interner Serverfehler"), ("erreur interne", r"Erreur interne du serveur"), ("error interno", r"Error interno del servidor"), ("no encontrad", r"\b(?:Página|Ficha|Registro|Documento|Recurso)\b[^.\n]{0,20} no encontrad[oa]"),
-    ("nicht gefunden", r"\b(?:Seite|Datensatz|Katalogeintrag|Eintrag|Dokument|Titel|Datei)\b[^.\n]{0,20} nicht gefunden\b"), ("introuvable", r"\b(?:Page|Fiche|Notice|Document|Ressource)\b[^.\n]{0,20} introuvable\b"),
-    ("on our ", r"(?:hit a snag|did not work|went wrong|broke|failed) on our (?:server|side|end)"), ("something went wrong", r"Something went wrong"),
-    ("aborted:", r"\b[A-Z]\w+ aborted: "), ("failed:", r"\b(?:Download|Transfer|Upload|Request|Login|Import|Export) failed: "), ("cannot open", r"\bCannot open (?:file|page|record|database)\b"), ("on line", r"\b(?:Warning|Critical|Notice|Fatal|Error|Severe)\b[^\n]{0,120} on line \d+"),
-    ("your request", r"We (?:failed|were unable|could not)[^.\n]{0,20} process your request"), ("were unable to", r"We were unable to (?:retrieve|load|open|find|display|fetch)\b"), ("we could not", r"We could not (?:retrieve|load|open|find|display|fetch)\b"), ("looking for", r"you (?:are looking for|requested|were looking for) (?:has been|does not|no longer|is no longer|cannot|could not|was)\b"),
-    ("nothing here", r"\bNothing here: no \w+"), ("permission", r"\b(?:You|you) lack permission (?:for|to)\b|\bYou do not have permission to\b"), ("we failed to", r"We failed to (?:process|retrieve|load|open|find|display|fetch)\b"), ("has been", r"\bThis (?:item|page|title|volume|record|scan|abstract|entry|document|file|resource|full text) has been (?:moved|deleted|renamed|removed|withdrawn)\b"),
-    ("help desk", r"If this continues, write to the help desk"), ("retry in", r"\bRetry in \d+ (?:minutes|seconds)"), ("return to the", r"\bReturn to the \w+ home\b"), ("request id", r"\bRequest id [0-9a-f]{6,}"), ("try again later", r"Please try again later\."), ("could not be found on", r"could not be found on \S+"), ("cannot be served on", r"cannot be served on \S+"),
-    ("while", r"(?:connection|upstream|backend|service) (?:timed out|did not answer|was reset|was refused|failed) while (?:loading|opening|fetching|reading)"),
+SCRIPT = _all("java script|javascript|js|scripts|script|scripting|client side scripts|client side scripting|client side javascript|skripte|skripts|les scripts|los scripts|gli script")
+DEMANDS = [
+    *_all("enable|activate|allow|switch on|turn on|unblock|require|requires|required|need|needs|relies on|depends on|works only with|can run|does not support|has switched off|has disabled|blocks"),
+    *_all("cannot", "start|run|work|load|open", "without"), *_all("is|are", "disabled|blocked|switched off|turned off|required|not enabled|off"),
+    *_all("aktivieren|erlauben|einschalten|schalten|zulassen|benötigt|erfordert|deaktiviert|ausgeschaltet|blockiert"), *_all("activer|activez|autoriser|autorisez|nécessite|requiert|désactivé|désactivés|ne prend pas en charge|bloque"),
+    *_all("activar|active|habilitar|habilite|permita|permitir|requiere|necesita|desactivado|no admite"), *_all("attivare|attiva|attivi|attivate|abilitare|abilita|abiliti|abilitate|consentire|consenta|richiede|necessita|disattivato|disabilitato"),
+    *_all("ativar|ative|habilitar|requer|precisa|desativado|inschakelen|schakel|activeer|vereist|uitgeschakeld"),
 ]
-_J = r"(?:java ?script|\bjs\b|(?:client-side )?script(?:s|ing)|skripte|les scripts)"
-#: Notices that scripts are required.
-SCRIPT_ANCHORS = ("script", "skript", "js", "enabling it", "enable it", "allow it", "your settings")
-SCRIPTS = [
-    (r"\b(?:must|please|kindly|need to|have to|to) (?:allow|enable|activate|switch on|turn on|unblock)\b[^.\n]{0,30}" + _J), (r"^\W*(?:allow|enable|activate|switch on|turn on)\b[^.\n]{0,30}" + _J),
-    r"cannot (?:start|run|work|load|open) without " + _J,
-    (r"\b(?:page|site|catalogue|reader|viewer|application|app|website|service|library) (?:requires|needs|depends on|works only with|relies on)\b[^.\n]{0,12}" + _J), (_J + r"[^.\n]{0,12}, which [^.\n]{0,40}\b(?:requires?|needs?)"),
-    (r"^\W*" + _J + r" (?:is|are) (?:disabled|blocked|switched off|turned off|required|not enabled|off)\."), (r"check that " + _J + r" can run"), (r"\bwithout " + _J + r" (?:this|the) (?:page|site|catalogue)[^.\n]{0,20}(?:cannot|does not|will not)"),
-    (r"(?:browser|navigateur|navegador)[^.\n]{0,40}(?:blocks|does not support|has switched off|has disabled|ne prend pas en charge|no admite)[^.\n]{0,20}" + _J),
-    (r"\b(?:activer|autoriser|activez|autorisez)\b[^.\n]{0,15}" + _J + r"[^.\n]{0,12} pour"), (r"\b(?:habilite|active|activar|habilitar|permita)\b[^.\n]{0,12}" + _J + r"[^.\n]{0,6} para"),
-    (r"\b(?:aktivieren|erlauben|schalten)\s+sie\b[^.\n]{0,15}(?:java ?script|skripte)"), (r"\b(?:aktivieren|erlauben|schalten)\s+sie\b[^.\n]{0,15}java ?script"), (r"\bEnable it and reload\b|\bReload after enabling it\b|\bChange your settings and refresh\b"),
+NEAR_SCRIPT = [
+    *_all("please|kindly|bitte|veuillez|merci de|merci d|il faut|vous devez|debe|por favor|si prega di|per favore|dovete|occorre|is nodig|sie|if nothing appears|if nothing happens|check that|without|and cookies|and reload|for this page|here|cannot|which|um|ein"),
+    *_all("you", "must|need to|have to"), *_all("this|the|our", "page|site|catalogue|reader|viewer|application|app|website|service|library"), *_all("|in", "your browser"), *_all("in ihrem browser|ihr browser|dans votre navigateur|votre navigateur|en su navegador|su navegador|nel browser|il browser|no seu navegador"),
+    *_all("to", "continue|see|view|display|open|use|read|proceed"), *_all("pour", "afficher|continuer|voir|consulter"), *_all("para", "ver|continuar|consultar|mostrar"), *_all("per", "continuare|visualizzare|vedere|aprire"), *_all("zu", "sehen|öffnen|nutzen|lesen"), "fortzufahren",
 ]
-#: A segment with one of these only speaks of such texts.
-SPEAKS_OF = re.compile(
-    r"a mark such as|stands? for|expands? to|is replaced by the|filler text (?:that|which)|opens with|textbook|survey asked|asked whether|complaint|interviewees|recalled|answered with|help desk log|error page|link rot|marks errors|"
-    r"the (?:word|phrase|term|string|message|notation|syntax|placeholder) [\"'“‘«]|so-called|quoted|steht für|signifie|significa|advises",
-    re.I,
+FILLER = _all(
+    "lorem ipsum|dolor sit amet|consectetur adipiscing|texte de remplissage|faux texte|texte d exemple|beispieltext|platzhaltertext|blindtext|mustertext|texto de relleno|texto de ejemplo|texto de prueba|texto simulado|testo di prova|testo segnaposto|texto fictício|"
+    "placeholder paragraph|placeholder text|replace before publishing|dummy text for|this is dummy text|sample abstract text|sample text goes here|text goes here|your text here|insert text here"
 )
-QUOTED = re.compile(r"'[^'\n]{2,60}'|\"[^\"\n]{2,60}\"|“[^”\n]{2,60}”|„[^“\n]{2,60}“|«[^»\n]{2,60}»|`[^`\n]{2,60}`")
-FORMAL = re.compile(r"\$[^$\n]{1,80}\$|@\w+\{[^@]{0,400}?\}\}?(?=\s|$)|\\\w+\{[^}]*\}")
+NEAR_FILLER = _all("bitte ersetzen|à remplacer|por sustituir|da sostituire|this is|das ist|ceci est|esto es|questo è|ein|un|the|here|goes here|replace|please replace|for the abstract|only")
+LATIN = {"lorem", "ipsum", "dolor", "amet", "consectetur", "adipiscing", "elit", "eiusmod", "tempor", "incididunt", "labore", "magna", "aliqua", "veniam", "nostrud", "exercitation", "ullamco", "laboris", "aliquip", "commodo", "consequat"}
+ROWS = ("qwertyuiop", "asdfghjkl", "asdfghjklö", "zxcvbnm", "qwertzuiop", "yxcvbnm", "azertyuiop", "qsdfghjklm", "wxcvbn")
+#: Words that may stand before a message and belong to it.
+LEADING = {"the", "this", "your", "a", "please", "sorry", "hmm", "we", "you", "our", "bitte", "die", "der", "das", "la", "le", "les", "el", "il", "votre", "su", "ihre", "veuillez", "that", "if", "no"}
+#: Words that name what stands directly after, or before, them as an example or a term.
+NAMING = re.compile(r"(?:\b(?:such as|like|e\.g\.|i\.e\.|namely|called|named|wie|etwa|namens|z\.\s?B\.|comme|telle? que|par exemple|como|por ejemplo|come|ad esempio)|(?<![\w-])(?:mark|word|term|phrase|string|symbol|notation|syntax|placeholder|variable|message|token)s?)\W{0,2}$", re.I)
+NAMED = re.compile(r"\W{0,2}\s*(?:stands? for|(?:is|are|gets) replaced|expands? to|means|denotes?|represents?|refers to|steht für|bedeutet|wird ersetzt|signifie|désigne|est remplacé|significa|representa|se sustituye)\b", re.I)
+QUOTED = re.compile(r"(?<!\w)'[^'\n]+'(?!\w)|\"[^\"\n]+\"|“[^”\n]+”|„[^“\n]+“|«[^»\n]+»|`[^`\n]+`")
+FORMAL = re.compile(r"\$(?![{])[^$\n]+\$(?![{])|\\\w+\{[^}\n]*\}|=\s*\{\{[^}\n]*\}\}")
+RECORD = re.compile(r"@\w+\{")
+SEGMENT_END = re.compile(r"\n|[.!?] ")
+PIECE = re.compile(r"(?P<path>(?:\w+:/)?/[\w./?=&%-]+|\b[\w-]+(?:\.[\w-]+)*\.[a-z]{2,}\b(?:/\S*)?)|(?P<fault>\b[A-Z]\w*[a-z](?:Error|Exception)\b)|(?P<number>\b\d[\w]*)|[^\W\d_]+")
 
 
-def _patterns():
-    """The automaton and what each of its anchors calls for; built once in a worker."""
+@cache
+def _tables():
+    """The automaton of anchors and that of whole phrases; built once in a worker."""
     import ahocorasick
 
-    calls: dict[str, list] = {}
-    for a in MARK_ANCHORS:
-        calls.setdefault(a, []).append(("mark", None))
-    for a in FILLER:
-        calls.setdefault(a, []).append(("filler", None))
-    for a, p in ERRORS:
-        calls.setdefault(a, []).append(("error", re.compile(p, re.M)))
-    notices = [("script", re.compile(p, re.M | re.I)) for p in SCRIPTS]
-    for a in SCRIPT_ANCHORS:
-        calls.setdefault(a, []).extend(notices)
-    automaton = ahocorasick.Automaton()
-    for a, c in calls.items():
-        automaton.add_word(a, (a, c))
-    automaton.make_automaton()
-    return automaton, [re.compile(p) for p in MARKS]
+    phrases = ahocorasick.Automaton()
+    role: dict[str, set] = {}
+    for kind, part, group in (("error", "core", ERRORS), ("error", "near", NEAR_ERRORS), ("script", "object", SCRIPT), ("script", "demand", DEMANDS), ("script", "near", NEAR_SCRIPT), ("filler", "core", FILLER), ("filler", "near", NEAR_FILLER)):
+        for x in group:
+            role.setdefault(f" {x} ", set()).add((kind, part))
+    for x, roles in role.items():
+        phrases.add_word(x, (x.count(" ") - 1, tuple(roles)))
+    phrases.make_automaton()
+    anchors = ahocorasick.Automaton()
+    seek: dict[str, list] = {a: [re.compile(p) for p in ps] for a, ps in MARKS.items()}
+    for x in [*ERRORS, *SCRIPT, *FILLER]:  # a phrase is looked for where its longest word stands
+        word = max((w for w in x.split() if w[0] != "#"), key=len, default="")
+        if word:
+            seek.setdefault(word, [])
+    for a in ("error", "exception", " line "):  # the names of program errors, and places in files
+        seek.setdefault(a, [])
+    for a, ps in seek.items():
+        anchors.add_word(a, ("mark" if ps else "phrase", a, ps))
+    for r in {x for row in ROWS for x in (row, row[::-1])}:
+        for k in range(len(r) - 3):
+            if not anchors.exists(r[k : k + 4]):
+                anchors.add_word(r[k : k + 4], ("walk", r[k : k + 4], []))
+    anchors.make_automaton()
+    return anchors, phrases
+
+
+def _with_words(lexicon: frozenset):
+    """The automaton of filler words, each between marks that are no letters."""
+    import ahocorasick
+
+    words = ahocorasick.Automaton()
+    for w in lexicon | LATIN:
+        words.add_word(w, len(w))
+    words.make_automaton()
+    return words
 
 
 def _walk_word(w: str) -> bool:
     return len(w) >= 4 and any(w in r or w[::-1] in r for r in ROWS)
 
 
-def _noise(low: str) -> int:
-    """Characters of keyboard walks and of one or two words repeated over and over."""
-    words = re.findall(r"[^\W\d_]+", low)
-    if len(words) < 4:
-        return 0
-    walks = sum(len(w) + 1 for w in words if _walk_word(w) or (w == "qwerty" or w == "qwertz"))
-    if sum(map(_walk_word, words)) < 3:
-        walks = 0
-    most = 0
-    for unit in (1, 2, 3):
+def _walks(low: str) -> list[tuple[int, int]]:
+    """Runs of at least two keyboard walks."""
+    out, run = [], []
+    for m in [*re.finditer(r"[^\W\d_]+", low), None]:
+        if m and (_walk_word(m.group()) or m.group() in ("qwerty", "qwertz", "azerty")):
+            run.append(m.span())
+            continue
+        if len(run) >= 2:
+            out.append((run[0][0], run[-1][1]))
+        run = []
+    return out
+
+
+def _loops(low: str) -> list[tuple[int, int]]:
+    """Spans of one to three words said at least four times in a row."""
+    ws = low.split()
+    if not any(sum(map(eq, ws[u:], ws)) >= 3 * u for u in (1, 2, 3)):
+        return []
+    found = [(m.group(), m.span()) for m in re.finditer(r"[^\W\d_]+", low)]
+    out = []
+    for u in (1, 2, 3):
         run = 0
-        for k in range(unit, len(words)):
-            run = run + 1 if words[k] == words[k - unit] else 0
-            if run >= 4 * unit - unit and run + unit > most:
-                most = run + unit
-    loops = sum(len(w) + 1 for w in words[:most]) if most else 0
-    return max(walks, loops)
+        for k in range(u, len(found) + 1):
+            if k < len(found) and found[k][0] == found[k - u][0]:
+                run += 1
+                continue
+            if run >= 3 * u:
+                out.append((found[k - u - run][1][0], found[k - 1][1][1]))
+            run = 0
+    return out
+
+
+def _runs(low: str, words) -> list[tuple[int, int]]:
+    """Spans of at least five filler words with at most two others between neighbours."""
+    out, run, n = [], None, 0
+    for end, length in words.iter(low):
+        a, b = end - length + 1, end + 1
+        if (a and low[a - 1].isalpha()) or low[b : b + 1].isalpha():
+            continue
+        if run is not None and len(low[run[1] : a].split()) <= 3:
+            run, n = (run[0], b), n + 1
+        else:
+            if n >= 5:
+                out.append(run)
+            run, n = (a, b), 1
+    return [*out, run] if n >= 5 else out
 
 
-def judge(text: str | None, automaton, marks, lexicon: frozenset) -> tuple[bool, float, str]:
-    """(excluded, marked share of the document, kinds found)."""
+class Spans:
+    """Spans that do not overlap, in order: the earlier and longer ones of those given."""
+
+    def __init__(self, spans):
+        self.starts, self.ends = [], []
+        for a, b in sorted(spans, key=lambda x: (x[0], -x[1])):
+            if not self.ends or a >= self.ends[-1]:
+                self.starts.append(a)
+                self.ends.append(b)
+
+    def around(self, a: int, b: int) -> bool:
+        k = bisect_right(self.starts, a) - 1
+        return k >= 0 and b <= self.ends[k]
+
+
+def _records(text: str) -> list[tuple[int, int]]:
+    """Bibliographic records from their sign to the brace that closes them."""
+    out, end = [], 0
+    for m in RECORD.finditer(text):
+        if m.start() < end:
+            continue
+        depth, k = 1, m.end()
+        while depth and k < len(text):
+            depth += (text[k] == "{") - (text[k] == "}")
+            k += 1
+        if not depth:
+            out.append((m.start(), k))
+            end = k
+    return out
+
+
+def _kinds_of(text: str, a: int, b: int, hidden: Spans, phrases) -> list[tuple[str, int, int]]:
+    """Residue (kind, from, to) among the words of one segment."""
+    words, spans = [], []
+    for m in PIECE.finditer(text, a, b):
+        if hidden.around(*m.span()):
+            words.append("#quoted")
+        elif m.lastgroup == "number":
+            words.append("#code" if re.fullmatch(r"[45]\d\d", m.group()) else "#")
+        else:
+            words.append("#" + m.lastgroup if m.lastgroup else m.group().lower())
+        spans.append(m.span())
+    line = " " + " ".join(words) + " "
+    place, n = {}, 0
+    for k, c in enumerate(line):
+        if c == " ":
+            place[k] = n
+            n += 1
+    hits = []
+    for end, (length, roles) in phrases.iter(line):
+        first = place[end] - length
+        hits.extend((first, first + length, kind, part) for kind, part in roles)
+    out = []
+    for kind in {h[2] for h in hits if h[3] != "near"}:
+        mine = [h for h in hits if h[2] == kind]
+        core = [h for h in mine if h[3] in ("core", "object")]
+        if not core or (kind == "script" and not any(h[3] == "demand" for h in mine)):
+            continue
+        # a message that begins with a capital in the midst of a sentence begins a segment of its own
+        start = 0
+        for f, _, _, part in sorted(mine):
+            while f and words[f - 1] in LEADING:
+                f -= 1
+                if text[spans[f][0]].isupper():
+                    break
+            if f > start and (text[spans[f][0]].isupper() or words[f] == "#code") and not any(h[0] < f for h in core):
+                start = f
+        covered = set()
+        for f, t, _, _ in mine:
+            covered.update(range(max(f, start), t))
+        # what stands before a colon is the message, the rest explains it
+        head = next((k + 1 for k in range(start, len(words) - 1) if ":" in text[spans[k][1] : spans[k + 1][0]]), None)
+        whole = head is not None and covered >= set(range(start, head)) and any(start <= h[0] < head for h in core)
+        if whole or len(covered) >= SEGMENT_SHARE * (len(words) - start):
+            out.append((kind, spans[start][0], b))
+    return out
+
+
+def judge(text: str | None, words, document_share: float = 0.0) -> tuple[bool, float, str]:
+    """(excluded, share of the document that residue covers, kinds found)."""
     if text is None or not text.strip():
         return False, 0.0, ""
     low = text.lower()
     if len(low) != len(text):  # a few letters change length in lower case
         low = "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
-    kinds: set[str] = set()
-    wanted: dict[str, list] = {}
-    for _, (anchor, calls) in automaton.iter(low):
-        if anchor not in wanted:
-            wanted[anchor] = calls
-    spans: list[tuple[int, int, str]] = []
-    hidden = None
-
-    def shielded(a: int, b: int) -> bool:
-        """Within a formula, a bibliographic record or a quotation."""
-        nonlocal hidden
-        if hidden is None:
-            hidden = [m.span() for m in FORMAL.finditer(text)] + [m.span() for m in QUOTED.finditer(text) if not text[m.start() - 1 : m.start()].isalpha()]
-        return any(x <= a and b <= y for x, y in hidden)
-
-    if any(k == "mark" for c in wanted.values() for k, _ in c):
-        for p in marks:
-            for m in p.finditer(text):
-                if not shielded(*m.span()):
-                    spans.append((m.start(), m.end(), "mark"))
-    for anchor, calls in wanted.items():
-        for kind, p in calls:
-            if kind == "filler":
-                k = low.find(anchor)
-                while k >= 0:
-                    if not shielded(k, k + len(anchor)):
-                        spans.append((k, k + len(anchor), "filler"))
-                    k = low.find(anchor, k + 1)
-            elif p is not None:
-                for m in p.finditer(text):
-                    if not shielded(*m.span()):
-                        spans.append((m.start(), m.end(), kind))
-    # runs of filler words
-    run_start = run_end = hits = misses = 0
-    known = 0
-    for m in re.finditer(r"[^\W\d_]+", low):
-        w = m.group()
-        if w in lexicon or w in LATIN:
-            if not hits:
-                run_start = m.start()
-            hits, misses, run_end = hits + 1, 0, m.end()
-        elif hits:
-            misses += 1
-            if misses > 2:
-                if hits >= 5:
-                    spans.append((run_start, run_end, "filler"))
-                hits = misses = 0
-    if hits >= 5:
-        spans.append((run_start, run_end, "filler"))
-    noise = _noise(low)
-    if noise:
-        kinds.add("noise")
-    strong = bool(noise and (noise >= DOCUMENT_SHARE * len(low) or noise >= 20))
-    covered = noise
-    for a, b, kind in sorted(spans):
-        left = max(text.rfind("\n", 0, a), *(text.rfind(x, 0, a) + 1 for x in (". ", "! ", "? "))) + 1
-        ends = [x for x in (text.find("\n", b), *(text.find(y, b) for y in (". ", "! ", "? "))) if x >= 0]
-        right = min(ends) if ends else len(text)
-        segment = text[left:right]
-        if SPEAKS_OF.search(segment):
-            continue
-        covered += b - a
-        share = (b - a) / max(1, len(segment))
-        if kind in ("mark", "error", "script") or share >= SEGMENT_SHARE or (kind == "filler" and b - a >= 10):
-            strong = True
-            kinds.add(kind)
-    total = min(1.0, covered / len(text.strip()))
-    return strong or total >= DOCUMENT_SHARE, total, " ".join(sorted(kinds))
+    anchors, phrases = _tables()
+    marks, places, walk = [], [], False
+    for end, (sort, anchor, patterns) in anchors.iter(low):
+        if sort == "walk":
+            walk = True
+        elif sort == "phrase":
+            if not low[end + 1 : end + 2].isalpha():
+                places.append(end)
+        else:
+            at = end - len(anchor) + 1
+            marks.extend(m for p in patterns if (m := p.match(text, at)))
+    found = [("noise", a, b) for a, b in (_walks(low) if walk else [])] + [("noise", a, b) for a, b in _loops(low)]
+    if sum(b - a for _, a, b in found) < min(20, NOISE_SHARE * len(low)):
+        found = []
+    found += [("filler", a, b) for a, b in _runs(low, words)]
+    if marks or places:
+        hidden = Spans([m.span() for p in (FORMAL, QUOTED) for m in p.finditer(text)] + (_records(text) if "@" in text else []))
+        starts = [0, *(m.end() for m in SEGMENT_END.finditer(text)), len(text) + 1]
+
+        def segment(at: int) -> tuple[int, int]:
+            """The sentence or line around a place."""
+            k = bisect_right(starts, at)
+            return starts[k - 1], min(starts[k], len(text))
+
+        for m in marks:
+            a, b = m.span()
+            if not hidden.around(a, b) and not NAMING.search(text, max(0, a - 40), a) and not NAMED.match(text, b):
+                found.append(("mark", *segment(a)))
+        for a, b in dict.fromkeys(map(segment, places)):
+            found += _kinds_of(text, a, b, hidden, phrases)
+    if not found:
+        return False, 0.0, ""
+    covered, end = 0, 0
+    for _, a, b in sorted(found, key=lambda x: x[1:]):
+        covered += max(0, b - max(a, end))
+        end = max(end, b)
+    share = min(1.0, covered / len(text.strip()))
+    return share >= document_share, share, " ".join(sorted({k for k, _, _ in found}))
 
 
 def filler_words(docs: DataFrame, text: str = "text") -> list[str]:
@@ -228,7 +370,7 @@ def filler_words(docs: DataFrame, text: str = "text") -> list[str]:
     return sorted(w for w, n in few.items() if 3 * n >= everywhere.get(w, n))
 
 
-def residue(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
+def residue(docs: DataFrame, id: str = "doc_id", text: str = "text", document_share: float = 0.0) -> DataFrame:
     """(id, share, kinds) of the documents to exclude."""
     lexicon = docs.sparkSession.sparkContext.broadcast(filler_words(docs, text))
     kind = dict(docs.dtypes)[id]
@@ -236,11 +378,9 @@ def residue(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFram
     def scan(batches):
         import pandas as pd
 
-        automaton, marks = _patterns()
-        words = frozenset(lexicon.value)
+        words = _with_words(frozenset(lexicon.value))
         for pdf in batches:
-            got = [(i, *judge(t, automaton, marks, words)) for i, t in zip(pdf["id"], pdf["text"])]
-            out = [(i, share, kinds) for i, bad, share, kinds in got if bad]
+            out = [(i, *got[1:]) for i, t in zip(pdf["id"], pdf["text"]) if (got := judge(t, words, document_share))[0]]
             # typed, because an empty list would become numbers
             yield pd.DataFrame({id: pd.Series([o[0] for o in out], dtype=pdf["id"].dtype), "share": pd.Series([o[1] for o in out], dtype="float64"), "kinds": pd.Series([o[2] for o in out], dtype=object)})
 
