@@ -47,6 +47,37 @@ def test_currency_without_time(spark):
     assert got[99, "pages"] == 901 and got[98, "pages"] == 800
 
 
+def test_states_without_times(spark):
+    """Three states follow one another; then a cycle, states never compared, and times that contradict the order."""
+    forms = {"a": "1-9", "b": "1--9", "c": "1–9", "d": "1 - 9", "e": "1 -- 9"}  # d and e are never seen with a time beside others
+    rows = []
+    for g in range(10, 30):
+        rows += [(g, 10 * g, None, None, None, forms["a"], "good", D(1)), (g, 10 * g + 1, None, None, None, forms["b"], "good", D(5))]
+    for g in range(30, 50):
+        rows += [(g, 10 * g, None, None, None, forms["b"], "good", D(1)), (g, 10 * g + 1, None, None, None, forms["c"], "good", D(5))]
+    cases = {
+        1000: (["a", "c", "b"], 1),  # a < b < c, a < c by transitivity only
+        1001: (["d", "a"], 0), 1002: (["e", "d"], 0),  # nothing known: the smallest id
+        1003: (["b", "d", "a"], 0),  # b after a, d incomparable: the smallest id of b and d
+    }
+    for g, (states, _) in cases.items():
+        rows += [(g, 10 * g + k, None, None, None, forms[x], "good", None) for k, x in enumerate(states)]
+    # a value of state b without time lies between a later a and an earlier c: one place in the order, the latest time survives
+    rows += [(1004, 10040, None, None, None, forms["c"], "good", D(1)), (1004, 10041, None, None, None, forms["b"], "good", None), (1004, 10042, None, None, None, forms["a"], "good", D(9))]
+    got = survive(spark, rows)
+    assert {g: got[g, "pages"] - 10 * g for g in cases} == {g: k for g, (_, k) in cases.items()}
+    assert got[1004, "pages"] == 10042
+
+
+def test_precedence():
+    p = survivor.precedence([("f", "a", "b", 15), ("f", "b", "c", 15), ("f", "c", "a", 15), ("f", "c", "d", 15), ("f", "x", "y", 2), ("f", "u", "v", 50), ("f", "v", "u", 40), ("g", "a", "b", 90), ("g", "b", "a", 20)])
+    assert p == {("f", "a", "d"), ("f", "b", "d"), ("f", "c", "d"), ("g", "a", "b")}  # a, b, c are a cycle
+    nodes = [("a", None, 1), ("b", None, 2), ("c", None, 3)]
+    assert survivor.latest("f", nodes, {("f", "a", "b"), ("f", "a", "c"), ("f", "b", "c")}) == 2
+    assert survivor.latest("f", nodes, {("f", "a", "b")}) == 1 and survivor.latest("f", nodes, set()) == 0
+    assert survivor.latest("f", [("a", 5, 9), ("b", 5, 4), ("c", 3, 1)], set()) == 1
+
+
 def test_survivor_stock_text_long_and_empty(spark):
     stock = "This record has a text that many groups share."
     rows = [(g, g, None, stock, None, None, "good", D(1)) for g in range(1, 8)] + [(50, 50, None, "word " * 50_000 + "end.", None, None, "good", D(1))]
