@@ -11,12 +11,12 @@ from ..operators.packed import unpack
 from ..plans import read_table
 
 
-def _tree(spark: SparkSession, d: str) -> DataFrame:
-    return hierarchy(read_table(spark, d, "collections"))
+def _tree(spark: SparkSession, d: str, paths: bool = True) -> DataFrame:
+    return hierarchy(read_table(spark, d, "collections"), paths=paths)
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
-    return _tree(spark, d).select("id", "root_id", "depth")
+    return _tree(spark, d, False).select("id", "root_id", "depth")
 
 
 def p3_paths(spark: SparkSession, d: str) -> DataFrame:
@@ -28,7 +28,7 @@ def p3_descendants(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p3_loops(spark: SparkSession, d: str) -> DataFrame:
-    return _tree(spark, d).where("depth < 0").groupBy("root_id").agg(
+    return _tree(spark, d, False).where("depth < 0").groupBy("root_id").agg(
         F.count_if("in_loop").alias("n_members"), F.count_if(~F.col("in_loop")).alias("n_below")
     )
 
@@ -45,7 +45,7 @@ def p3_all_descendants(spark: SparkSession, d: str) -> DataFrame:
 
 def p3_loop_members(spark: SparkSession, d: str) -> DataFrame:
     """The collections ``p3_loops`` counts, by name."""
-    return _tree(spark, d).where("depth < 0").select("root_id", "id", "in_loop")
+    return _tree(spark, d, False).where("depth < 0").select("root_id", "id", "in_loop")
 
 
 def _references(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:

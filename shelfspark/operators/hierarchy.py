@@ -1,10 +1,13 @@
 """Parent-child rows to full hierarchies (problem 3).
 
 Method: components of the parent graph by pointer doubling, each component co-located,
-an iterative depth-first walk with node colouring inside it.  A component larger than
-``max_component`` never enters one task: its depths, roots and paths come from the same
-doubling rounds, which are distributed joins, so a tree holding a third of all rows is
-neither collected nor dropped.
+an iterative depth-first walk with node colouring inside it, one component after the other.
+A component larger than ``max_component`` never enters one task: its depths and roots are
+those of the doubling rounds and its paths come from further ones, all distributed joins, so
+a tree holding a third of all rows is neither collected nor dropped.  Either way gives the
+same rows.  A hot parent is the unique side of each join, so adaptive execution may split
+the rows that point at it.  Paths are made only where asked for and streamed, as their
+length adds up to the square of a chain's.
 
 Defined results
 * a parent that is null, blank or names no row: the row is its own root at depth 0
@@ -27,7 +30,6 @@ from pyspark.sql import functions as F
 
 from ..plans import cut, discard
 
-NODE = "cid string, id string, parent string, name string"
 OUT = "id string, root_id string, depth bigint, in_loop boolean, path array<string>, path_ids array<string>"
 
 
@@ -62,7 +64,7 @@ def _linked(nodes: DataFrame) -> DataFrame:
 
 
 def _double(links: DataFrame) -> DataFrame:
-    """(cid, root, depth, looped, in_loop) of every node by pointer doubling; finished nodes leave the loop."""
+    """(cid, root, depth, looped, in_loop) of every node by pointer doubling; finished nodes are written once and only looked up afterwards."""
     state = cut(
         links.select(
             "cid",
@@ -71,25 +73,20 @@ def _double(links: DataFrame) -> DataFrame:
             F.col("parent").isNull().alias("done"),
         )
     )
-    left = state.where("not done").count()
-    parts = [state.where("done")]
+    finished, active = state.where("done"), state.where("not done")
+    left = active.count()
     while left:
-        active = state.where("not done").alias("a")
-        step = state.select(F.col("cid").alias("ptr"), F.col("ptr").alias("p2"), F.col("dist").alias("d2"), F.col("done").alias("k2")).alias("s")
-        nxt = cut(
-            active.join(step, "ptr").select("cid", F.col("p2").alias("ptr"), (F.col("a.dist") + F.col("d2")).alias("dist"), F.col("k2").alias("done"))
-            .unionByName(state.where("done"))
-        )
-        discard(state)
-        state, before = nxt, left
-        left = state.where("not done").count()
+        step = finished.unionByName(active).select(F.col("cid").alias("ptr"), F.col("ptr").alias("p2"), F.col("dist").alias("d2"), F.col("done").alias("k2"))
+        nxt = cut(active.join(step, "ptr").select("cid", F.col("p2").alias("ptr"), (F.col("dist") + F.col("d2")).alias("dist"), F.col("k2").alias("done")))
+        finished, active, before = finished.unionByName(nxt.where("done")), nxt.where("not done"), left
+        left = active.count()
         # where an acyclic node is still under way, one of its ancestors finishes in each round
         if left == before:
             break
-    done = state.where("done").select("cid", F.col("ptr").alias("root"), F.col("dist").alias("depth"), F.lit(False).alias("looped"), F.lit(False).alias("in_loop"))
+    done = finished.select("cid", F.col("ptr").alias("root"), F.col("dist").alias("depth"), F.lit(False).alias("looped"), F.lit(False).alias("in_loop"))
     if not left:
         return done
-    rest = cut(links.join(state.where("not done").select("cid"), "cid", "left_semi").select("cid", F.col("parent").alias("ptr"), F.col("cid").alias("low")))
+    rest = cut(links.join(active.select("cid"), "cid", "left_semi").select("cid", F.col("parent").alias("ptr"), F.col("cid").alias("low")))
     for _ in range(math.ceil(math.log2(left + 1)) + 1):
         step = rest.select(F.col("cid").alias("ptr"), F.col("ptr").alias("p2"), F.col("low").alias("l2"))
         nxt = cut(rest.join(step, "ptr").select("cid", F.col("p2").alias("ptr"), F.least("low", "l2").alias("low")))
@@ -105,45 +102,48 @@ def _double(links: DataFrame) -> DataFrame:
     return done.unionByName(looped)
 
 
-def _walk(pdf):
-    """Iterative depth-first walk of whole components; white 0, grey 1, black 2."""
-    import pandas as pd
-
-    cid = pdf["cid"].tolist()
-    at = {c: k for k, c in enumerate(cid)}
-    up = [at[p] if isinstance(p, str) else -1 for p in pdf["parent"]]
-    ids, names = pdf["id"].tolist(), [x if isinstance(x, str) else "" for x in pdf["name"]]
+def walk(cid: list, parent: list, ids: list, names: list, paths: bool):
+    """
+    Iterative depth-first walk of whole components; white 0, grey 1, black 2.  Yields (node, root, depth, in loop,
+    path, path_ids) with numbers of nodes, the paths None unless asked for; only the path under way is held.
+    """
     n = len(cid)
-    kids = [[] for _ in range(n)]
+    at = {c: k for k, c in enumerate(cid)}
+    up = [-1 if p is None else at[p] for p in parent]
+    kids: list[list[int]] = [[] for _ in range(n)]
     for k, p in enumerate(up):
         if p >= 0:
             kids[p].append(k)
-    colour, root, depth, loop = [0] * n, [-1] * n, [0] * n, [False] * n
-    path, pids = [None] * n, [None] * n
+    colour = bytearray(n)
+
+    def descend(start, root, depth, line, in_loop=False):
+        """``start`` and the nodes below it; a grey node met again is the back edge of a loop, already named."""
+        trail = list(line)
+
+        def row(node, steps):
+            here = ([names[x] for x in trail], [ids[x] for x in trail]) if paths else (None, None)
+            return node, root, -1 if depth < 0 else depth + steps, in_loop and node == start, *here
 
-    def descend(start):
-        stack = [(start, iter(kids[start]))]
         colour[start] = 1
+        yield row(start, 0)
+        stack = [(start, iter(kids[start]))]
         while stack:
-            at_node, rest = stack[-1]
-            k = next(rest, None)
+            node, rest = stack[-1]
+            k = next((k for k in rest if colour[k] == 0), None)
             if k is None:
-                colour[at_node] = 2
+                colour[node] = 2
                 stack.pop()
-                continue
-            if colour[k]:  # a back edge closes a loop; it is handled where the loop is named
-                continue
-            root[k] = root[at_node]
-            depth[k] = -1 if depth[at_node] < 0 else depth[at_node] + 1
-            path[k] = path[at_node] + [names[k]]
-            pids[k] = pids[at_node] + [ids[k]]
-            colour[k] = 1
-            stack.append((k, iter(kids[k])))
+                if stack:
+                    trail.pop()
+            else:
+                colour[k] = 1
+                trail.append(k)
+                yield row(k, len(stack))
+                stack.append((k, iter(kids[k])))
 
     for k in range(n):
         if up[k] < 0:
-            root[k], path[k], pids[k] = k, [names[k]], [ids[k]]
-            descend(k)
+            yield from descend(k, k, 0, [k])
     for k in range(n):
         if colour[k] == 0:  # white after all roots: in a loop or below one
             trail, v = [], k
@@ -151,30 +151,55 @@ def _walk(pdf):
                 colour[v] = 1
                 trail.append(v)
                 v = up[v]
-            if colour[v] == 1:  # grey again: the back edge
-                ring = trail[trail.index(v):]
-                low = min(ring, key=lambda x: cid[x])
-                for x in ring:
-                    loop[x], root[x], depth[x] = True, low, -1
-                m = len(ring)
-                for j, x in enumerate(ring):  # from the farthest ancestor down to the node itself
-                    order = [ring[(j + s) % m] for s in range(m - 1, -1, -1)]
-                    path[x], pids[x] = [names[y] for y in order], [ids[y] for y in order]
-                for x in trail:
-                    if not loop[x]:
-                        colour[x] = 0
-                for x in ring:
-                    colour[x] = 2
-                for x in ring:
-                    for y in kids[x]:
-                        if colour[y] == 0:
-                            root[y], depth[y] = low, -1
-                            path[y], pids[y] = path[x] + [names[y]], pids[x] + [ids[y]]
-                            descend(y)
-            else:
-                for x in trail:
-                    colour[x] = 0
-    return pd.DataFrame({"id": ids, "root_id": [ids[r] for r in root], "depth": depth, "in_loop": loop, "path": path, "path_ids": pids})
+            ring = trail[trail.index(v):]
+            root = min(ring, key=cid.__getitem__)
+            for x in trail:
+                colour[x] = 0
+            for x in ring:
+                colour[x] = 1
+            for j, x in enumerate(ring):  # from the farthest ancestor down to the node itself
+                yield from descend(x, root, -1, [ring[(j + s) % len(ring)] for s in range(len(ring) - 1, -1, -1)] if paths else [], True)
+
+
+def _scan(paths: bool, at_once: int = 1_000_000):
+    """Rows sorted by component to ``OUT``, one component after the other."""
+
+    def run(batches):
+        import pandas as pd
+
+        rows: list = []
+        size = 0
+        held: list = []
+
+        def frame():
+            nonlocal size
+            out = pd.DataFrame(rows, columns=["id", "root_id", "depth", "in_loop", "path", "path_ids"]).astype({"depth": "int64", "in_loop": "bool"})
+            rows.clear()
+            size = 0
+            return out if paths else out[["id", "root_id", "depth", "in_loop"]]
+
+        def finish():
+            nonlocal size
+            cid, parent, ids, names = zip(*held)
+            for k, root, depth, looped, path, path_ids in walk(cid, parent, ids, names, paths):
+                rows.append((ids[k], ids[root], depth, looped, path, path_ids))
+                size += 1 + (2 * len(path) if paths else 0)
+                if size > at_once:
+                    yield frame()
+            held.clear()
+
+        now = None
+        for pdf in batches:
+            for root, c, p, i, name in zip(pdf["root"], pdf["cid"], pdf["parent"], pdf["id"], pdf["name"]):
+                if root != now and held:
+                    yield from finish()
+                now = root
+                held.append((c, p if isinstance(p, str) else None, i, name if isinstance(name, str) else ""))
+        if held:
+            yield from finish()
+        yield frame()
+
+    return run
 
 
 def _climb(state: DataFrame) -> DataFrame:
@@ -221,25 +246,23 @@ def _large(big: DataFrame, shape: DataFrame) -> DataFrame:
     return state.join(shape, "cid").select("id", F.col("root_name").alias("root_id"), "depth", "in_loop", "path", "path_ids")
 
 
-def hierarchy(rows: DataFrame, id: str = "id", parent: str = "parent_id", name: str = "coll_name", modified: str = "modified", max_component: int = 100_000, bin_rows: int = 20_000) -> DataFrame:
-    """One row per node: ``OUT``.  ``path`` runs from the root down to the node itself."""
+def hierarchy(rows: DataFrame, id: str = "id", parent: str = "parent_id", name: str = "coll_name", modified: str = "modified", paths: bool = True, max_component: int = 100_000) -> DataFrame:
+    """One row per node: ``OUT``, without ``path`` and ``path_ids`` unless asked for.  ``path`` runs from the root down to the node itself."""
     links = cut(_linked(current_nodes(rows, id, parent, name, modified)))
     shape = cut(_double(links))
-    sizes = shape.groupBy("root").agg(F.count(F.lit(1)).alias("size"))
-    total = shape.count()
-    bins = max(1, math.ceil(total / bin_rows))
-    placed = links.join(shape, "cid").join(sizes, "root")
-    small = placed.where(F.col("size") <= max_component)
-    out = (
-        small.select("cid", "id", "parent", "name", F.pmod(F.xxhash64("root"), F.lit(bins)).alias("bin"))
-        .groupBy("bin")
-        .applyInPandas(lambda pdf: _walk(pdf.sort_values("cid")), OUT)
-    )
-    if sizes.where(F.col("size") > max_component).limit(1).count():
-        big = placed.where(F.col("size") > max_component)
+    sizes = cut(shape.groupBy("root").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > max_component))
+    placed = links.join(shape, "cid")
+    small = placed.join(sizes, "root", "left_anti").select("root", "cid", "id", "parent", "name")
+    out = small.repartition("root").sortWithinPartitions("root", "cid").mapInPandas(_scan(paths), OUT if paths else OUT[: OUT.index(", path ")])
+    if sizes.limit(1).count():
+        big = placed.join(sizes, "root", "left_semi")
         roots = links.select(F.col("cid").alias("root"), F.col("id").alias("root_name"))
-        big = cut(big)
-        out = out.unionByName(_large(big, big.join(roots, "root").select("cid", "id", "root_name", "depth", "in_loop")))
+        named = big.join(roots, "root").select("cid", "id", "root_name", "depth", "in_loop")
+        if paths:
+            big = cut(big)
+            out = out.unionByName(_large(big, named))
+        else:
+            out = out.unionByName(named.select("id", F.col("root_name").alias("root_id"), "depth", "in_loop"))
     return out
 
 

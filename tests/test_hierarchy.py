@@ -3,7 +3,7 @@ import random
 
 import pytest
 
-from shelfspark.operators.hierarchy import descendants, hierarchy
+from shelfspark.operators.hierarchy import _scan, descendants, hierarchy, walk
 
 SCHEMA = "id string, coll_name string, parent_id string, modified timestamp_ntz, root string, depth int"
 T0 = datetime.datetime(2020, 1, 1)
@@ -40,8 +40,9 @@ def test_random_graphs(spark, seed):
     parents = {x: rnd.choice([None, "absent", *ids[: max(1, k)], *ids[:3], rnd.choice(ids)]) for k, x in enumerate(ids)}
     want = brute(parents)
     for most in (100_000, 2):  # in one task, and too large for one
-        got = {r.id: (r.root_id, r.depth) for r in run(spark, rows(parents), max_component=most).collect()}
-        assert got == want
+        for paths in (True, False):
+            got = {r.id: (r.root_id, r.depth) for r in run(spark, rows(parents), max_component=most, paths=paths).collect()}
+            assert got == want
 
 
 def test_paths_and_descendants(spark):
@@ -61,6 +62,27 @@ def test_long_chain(spark):
     assert got[f"{n - 1:05d}"] == n - 1
 
 
+def test_chain_of_many_nodes():
+    """A chain is walked without its paths, and its paths are never all held."""
+    n = 100_000
+    cid = [f"{k:06d}" for k in range(n)]
+    got = {k: d for k, _, d, *_ in walk(cid, [None, *cid[:-1]], cid, cid, False)}
+    assert len(got) == n and all(got[k] == k for k in range(0, n, 999))
+    for k, _, depth, _, path, ids in walk(cid[:2000], [None, *cid[:1999]], cid[:2000], cid[:2000], True):
+        assert len(path) == depth + 1 and ids[-1] == cid[k]
+
+
+def test_components_across_batches():
+    """Components that go over several batches, and rows that come out in several frames."""
+    import pandas as pd
+
+    rows = [(f"r{c}", f"r{c}" if k == 0 else f"r{c}n{k}", None if k == 0 else (f"r{c}" if k < 3 else f"r{c}n{k - 1}"), f"R{c}N{k}", "n") for c in range(9) for k in range(7)]
+    batches = [pd.DataFrame(rows[a : a + 5], columns=["root", "cid", "parent", "id", "name"]) for a in range(0, len(rows), 5)]
+    out = pd.concat(_scan(True, at_once=20)(iter(batches)))
+    assert len(out) == 63 and set(out.root_id) == {f"R{c}N0" for c in range(9)} and sorted(out.depth) == sorted([0, 1, 1, 2, 3, 4, 5] * 9)
+    assert len(list(_scan(False)(iter(batches)))[0].columns) == 4
+
+
 def test_spellings_ties_nulls(spark):
     data = [
         ("x1", None, None, T0, None, None),
