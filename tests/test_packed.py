@@ -1,6 +1,6 @@
 import pytest
 
-from shelfspark.operators.packed import chunks, tidy, unpack
+from shelfspark.operators.packed import Model, blocks, chunks, shape, tidy, unpack, weighed
 
 LISTS = [f"Alpha{c}, Beta{c}; Gamma{c}, Delta{c}" for c in "abcdefgh"] + [f"Ann{c} Bell{c}" for c in "abcdefgh"] + [f'"Wood{c}, Ada"' for c in "abcdefgh"] + [f"Stone{c}, B." for c in "abcdefgh"]
 
@@ -51,3 +51,31 @@ def test_tidy(text, want):
 def test_chunks_keep_spans():
     cs, seps = chunks('"a, b"; c', "keywords")
     assert [c[2] for c in cs] == [True, False] and seps == ["h"]
+
+
+def test_a_known_value_of_many_chunks_stays_whole(spark):
+    office = "Office of Research, Training, Records, Archives and Maps"
+    names = [(a, None, None) for a in LISTS]
+    got = run(spark, [*names, *[("{" + office + "}", None, None)] * 6, (office, None, None), (f"Stone, B. and {office}", None, None)])
+    at = len(LISTS) + 6
+    assert got[at, "author"] == [office] and got[at + 1, "author"] == ["Stone, B.", office]
+    keys = [(None, "a/b/c/d/e/f", None)] * 4 + [(None, "x; a/b/c/d/e/f", None)]
+    assert run(spark, keys)[4, "keywords"] == ["x", "a/b/c/d/e/f"]
+
+
+def test_rare_values_reach_the_last_step(spark):
+    """With a model that holds nearly no value, those met twice still come by a join."""
+    office = "Board of Rivers, Roads, Mines, Docks and Parks"
+    rows = [(a, None, None) for a in LISTS * 3] + [("{" + office + "}", None, None)] * 3 + [(office, None, None)]
+    df = spark.createDataFrame([(k, a, w, t) for k, (a, w, t) in enumerate(rows)], "import_id bigint, author string, keywords string, tags string")
+    got = [r.val for r in unpack(df, theta=0.04).where(f"import_id = {len(rows) - 1}").collect()]
+    assert got == [office]
+
+
+def test_joined_shapes_are_shapes_of_joins():
+    s = "van Dyk, A. B. and Stone & Sons, 9 Hill/Vale"
+    cs, seps, spans = blocks(s, "author")
+    model = Model({}, {}, {}, {"author": 9})
+    model.shapes = {("author", shape(s[cs[i][0] : cs[j - 1][1]])): 0.1 for i in range(len(cs)) for j in range(i + 1, len(cs) + 1)}
+    for i, j, v, x, _ in weighed(s, "author", cs, seps, *spans[0], model):
+        assert v == s[cs[i][0] : cs[j - 1][1]] and x == shape(v)
