@@ -11,7 +11,9 @@ right at the threshold are found by no tree) and are then verified on the whole
 
 Scale: records with one bag of words are one class, so copies, even a third of all rows,
 weigh as one record.  Paths are a narrow, vectorised expansion; what is shuffled is 32 bytes
-for each (node, class), sorted by node and scanned, so no node is ever collected.
+for each (node, class), sorted by node and scanned, so no node is ever collected.  Trees begin
+at a depth where nodes are still somewhat large, because a pair that meets early is compared
+early: that needs fewer trees for the same recall.
 
 Defined results
 * similarity is the Jaccard similarity of bags (multisets) of words, threshold 0.7 unless given
@@ -53,31 +55,30 @@ def _mix(x):
 
 def _bag(batches):
     """Word hashes to a set of (word, occurrence) hashes with its minwise tokens and sketch."""
-    import hashlib
-
     import numpy as np
     import pandas as pd
 
     golden = np.uint64(0x9E3779B97F4A7C15)
-    seeds = _mix(np.arange(1, COORDS + SKETCH + 1, dtype=np.uint64) * golden)[:, None]
+    # the words are mixed, so one odd factor a place makes a minwise hash
+    factors = (_mix(np.arange(1, COORDS + SKETCH + 1, dtype=np.uint64) * golden) | np.uint64(1))[:, None]
     bits = np.uint64(1) << np.arange(64, dtype=np.uint64)
     for pdf in batches:
-        out = []
-        for i, ws, p4, order in zip(pdf["row_id"], pdf["ws"], pdf["p4"], pdf["word_order"]):
+        elems, tokens, sketch = [], [], np.zeros((len(pdf), 2), dtype=np.int64)
+        for row, ws in enumerate(pdf["ws"]):
             w, n = np.unique(np.asarray(ws, dtype=np.int64).view(np.uint64), return_counts=True)
             if n.max(initial=1) > 1:
                 w = np.repeat(w, n)
-                k = np.concatenate([np.arange(x, dtype=np.uint64) for x in n])
-                w = _mix(w + k * golden)
-                w.sort()
-            mins = np.full(COORDS + SKETCH, np.iinfo(np.uint64).max, dtype=np.uint64)
-            for a in range(0, len(w), 4096):  # long texts in slices
-                mins = np.minimum(mins, _mix(w[None, a : a + 4096] ^ seeds).min(axis=1))
-            low = mins[COORDS:] & np.uint64(1)
-            sk = [(low[:64] * bits).sum(), (low[64:] * bits).sum()]
-            bag = hashlib.blake2b(np.sort(w).tobytes(), digest_size=16).hexdigest()
-            out.append((i, p4, order, bag, np.sort(w.view(np.int64)).tolist(), mins[:COORDS].view(np.int64).tolist(), np.uint64(sk[0]).view(np.int64), np.uint64(sk[1]).view(np.int64)))
-        yield pd.DataFrame(out, columns=["row_id", "p4", "word_order", "bag", "elems", "mins", "s0", "s1"])
+                w = _mix(w + (np.arange(len(w), dtype=np.uint64) - np.repeat(np.cumsum(n) - n, n).astype(np.uint64)) * golden)
+            else:
+                w = _mix(w)
+            mins = (w[None, :4096] * factors).min(axis=1)
+            for a in range(4096, len(w), 4096):  # long texts in slices
+                mins = np.minimum(mins, (w[None, a : a + 4096] * factors).min(axis=1))
+            low = _mix(mins[COORDS:]) & np.uint64(1)
+            sketch[row] = np.array([(low[:64] * bits).sum(), (low[64:] * bits).sum()], dtype=np.uint64).view(np.int64)
+            elems.append(np.sort(w.view(np.int64)))
+            tokens.append((mins[:COORDS] >> np.uint64(32)).astype(np.uint32).view(np.int32))
+        yield pd.DataFrame({"cid": pdf["cid"], "elems": elems, "tokens": tokens, "s0": sketch[:, 0], "s1": sketch[:, 1]})
 
 
 def _expand(trees: int, depth: int, lam: float, from_root: bool):
@@ -92,8 +93,7 @@ def _expand(trees: int, depth: int, lam: float, from_root: bool):
         for pdf in batches:
             if not len(pdf):
                 continue
-            mins = np.vstack(pdf["mins"].to_numpy()).view(np.uint64)
-            token = _mix(mins ^ place)
+            token = _mix(np.vstack(pdf["tokens"].to_numpy()).view(np.uint32).astype(np.uint64) ^ place)
             for part in range(0, len(pdf), 2000):
                 tok = token[part : part + 2000]
                 rows = np.arange(len(tok))
@@ -117,15 +117,15 @@ def _compare(limit: int, least: int):
         import numpy as np
         import pandas as pd
 
-        def pairs_of(node, cid, s0, s1):
+        def pairs_of(size, place, cid, s0, s1):
             found = []
+            at = np.arange(len(cid))
             for k in range(1, limit):
-                same = node[k:] == node[:-k]
-                if not same.any():
+                at = at[place[at] + k < size[at]]
+                if not len(at):
                     break
-                i = np.flatnonzero(same)
-                x = np.bitwise_count((s0[i] ^ s0[i + k]).view(np.uint64)).astype(np.int16) + np.bitwise_count((s1[i] ^ s1[i + k]).view(np.uint64))  # of signed numbers it would count the bits of the absolute value
-                i = i[x <= SKETCH - least]
+                x = np.bitwise_count((s0[at] ^ s0[at + k]).view(np.uint64)).astype(np.int16) + np.bitwise_count((s1[at] ^ s1[at + k]).view(np.uint64))  # of signed numbers it would count the bits of the absolute value
+                i = at[x <= SKETCH - least]
                 if len(i):
                     found.append((np.minimum(cid[i], cid[i + k]), np.maximum(cid[i], cid[i + k])))
             if found:
@@ -144,7 +144,8 @@ def _compare(limit: int, least: int):
                 size = np.diff(np.r_[first, len(n)])
                 per = np.repeat(size, size)
                 few = (per > 1) & (per <= limit)
-                yield from pairs_of(*[c[few] for c in done])
+                place = np.arange(len(n)) - np.repeat(first, size)
+                yield from pairs_of(*[c[few] for c in (per, place, *done[1:])])
                 many = per > limit
                 if many.any():
                     yield pd.DataFrame({"node": pd.array(n[many], dtype="Int64"), "cid": done[1][many], "s0": done[2][many], "s1": pd.array(done[3][many], dtype="Int64")})
@@ -178,26 +179,28 @@ def _compare(limit: int, least: int):
     return run
 
 
-def classes(df: DataFrame, id: str, columns: tuple[str, ...], record: Column | None = None) -> DataFrame:
-    """(row_id, p4, word_order, bag, elems, mins, s0, s1) of all rows with words, staged."""
-    ws = words(*columns)
-    base = df.select(
-        F.col(id).cast("bigint").alias("row_id"), ws.alias("w"),
-        (F.xxhash64(record) if record is not None else F.lit(0).cast("bigint")).alias("p4"),
-    ).where(F.size("w") > 0)
-    base = base.select("row_id", "p4", F.transform("w", lambda x: F.xxhash64(x)).alias("ws"), F.xxhash64(F.array_join("w", " ")).alias("word_order"))
-    return cut(base.mapInPandas(_bag, "row_id bigint, p4 bigint, word_order bigint, bag string, elems array<bigint>, mins array<bigint>, s0 bigint, s1 bigint"))
-
-
-def similar_classes(rows: DataFrame, threshold: float = 0.7, lam: float = 0.65, trees: int = 28, limit: int = 48, max_depth: int = 12) -> DataFrame:
-    """(cid_a, cid_b, similarity) of all classes at least ``threshold`` alike; ``cid`` is the smallest row id of a class."""
-    reps = rows.groupBy("bag").agg(F.min_by(F.struct("row_id", "elems", "mins", "s0", "s1"), "row_id").alias("r"))
-    reps = cut(reps.select(F.col("r.row_id").alias("cid"), "r.elems", "r.mins", "r.s0", "r.s1"))
-    total = reps.count()
+def classes(df: DataFrame, id: str, columns: tuple[str, ...], record: Column | None = None) -> tuple[DataFrame, DataFrame]:
+    """
+    Members (row_id, cid, p4, word_order) of all rows with words, and classes (cid, elems, tokens, s0, s1), both staged.
+    A class is one bag of words; ``cid`` is its smallest row id.
+    """
+    w = words(*columns)
+    rows = df.select(F.col(id).cast("bigint").alias("row_id"), w.alias("w"), (F.xxhash64(record) if record is not None else F.lit(0).cast("bigint")).alias("p4")).where(F.size("w") > 0)
+    rows = rows.withColumn("bag", F.md5(F.array_join(F.array_sort("w"), " ")))
+    reps = rows.select("bag", F.struct("row_id", F.transform("w", lambda x: F.xxhash64(x)).alias("ws")).alias("r")).groupBy("bag").agg(F.min_by("r", "r.row_id").alias("r"))
+    sets = cut(reps.select(F.col("r.row_id").alias("cid"), "r.ws").mapInPandas(_bag, "cid bigint, elems array<bigint>, tokens array<int>, s0 bigint, s1 bigint"))
+    cid = rows.groupBy("bag").agg(F.min("row_id").alias("cid"))
+    member = cut(rows.select("row_id", "bag", "p4", F.xxhash64(F.array_join("w", " ")).alias("word_order")).join(cid, "bag").select("row_id", "cid", "p4", "word_order"))
+    return member, sets
+
+
+def similar_classes(sets: DataFrame, threshold: float = 0.7, lam: float = 0.65, trees: int = 14, limit: int = 512, max_depth: int = 12) -> DataFrame:
+    """(cid_a, cid_b, similarity) of all classes at least ``threshold`` alike."""
+    total = sets.count()
     least = math.floor(SKETCH * ((1 + threshold) / 2) - 4 * math.sqrt(SKETCH * (1 + threshold) / 2 * (1 - threshold) / 2))
-    depth = max(1, math.ceil(math.log(max(total / limit, 2)) / math.log(8)))
-    nodes = reps.select("cid", "mins", "s0", "s1").mapInPandas(_expand(trees, depth, lam, True), NODE)
-    found, staged = [], [reps]
+    depth = max(1, math.floor(math.log(max(total / limit, 1)) / math.log(8)))
+    nodes = sets.select("cid", "tokens", "s0", "s1").mapInPandas(_expand(trees, depth, lam, True), NODE)
+    found, staged = [], []
     while True:
         scanned = cut(nodes.repartition("node").sortWithinPartitions("node").mapInPandas(_compare(limit, least), NODE))
         staged.append(scanned)
@@ -206,21 +209,21 @@ def similar_classes(rows: DataFrame, threshold: float = 0.7, lam: float = 0.65,
         if depth >= max_depth or not large.limit(1).count():
             break
         depth += 1
-        nodes = large.join(reps.select("cid", "mins"), "cid").mapInPandas(_expand(1, 1, lam, False), NODE)
+        nodes = large.join(sets.select("cid", "tokens"), "cid").mapInPandas(_expand(1, 1, lam, False), NODE)
     if depth >= max_depth:
         found.append(_blocks(large, limit, least))
     cand = found[0]
     for f in found[1:]:
         cand = cand.unionByName(f)
-    cand = cand.distinct()
-    left = reps.select(F.col("cid").alias("a"), F.col("elems").alias("ea"))
-    right = reps.select(F.col("cid").alias("b"), F.col("elems").alias("eb"))
+    cand = cut(cand.distinct())
+    left = sets.select(F.col("cid").alias("a"), F.col("elems").alias("ea"))
+    right = sets.select(F.col("cid").alias("b"), F.col("elems").alias("eb"))
     both = F.size(F.array_intersect("ea", "eb"))
     sim = both / (F.size("ea") + F.size("eb") - both)
     links = cut(
         cand.join(left, "a").join(right, "b").select(F.col("a").alias("cid_a"), F.col("b").alias("cid_b"), sim.alias("similarity")).where(F.col("similarity") >= threshold)
     )
-    discard(*staged)
+    discard(*staged, cand)
     return links
 
 
@@ -253,11 +256,11 @@ def designator(title: Column) -> Column:
 
 def near_pairs(df: DataFrame, id: str = "row_id", columns: tuple[str, ...] = ("title", "author", "abstract", "pub_year"), title: str = "title", threshold: float = 0.7, skip: tuple[str, ...] = ("row_id", "added", "modified")) -> DataFrame:
     """(row_id_a, row_id_b): rows of one work in different wording or word order; rows that differ in formatting only are left out."""
-    rows = classes(df, id, columns, canonical_record(df, skip))
-    links = similar_classes(rows, threshold)
-    rep = rows.groupBy("bag").agg(F.min("row_id").alias("cid"))
+    member, sets = classes(df, id, columns, canonical_record(df, skip))
+    links = similar_classes(sets, threshold)
+    discard(sets)
     part = df.select(F.col(id).cast("bigint").alias("row_id"), designator(F.col(title)).alias("part"))
-    member = cut(rows.select("row_id", "bag", "p4", "word_order").join(rep, "bag").join(part, "row_id").select("row_id", "cid", "p4", "word_order", "part"))
+    member = member.join(part, "row_id")
     a = member.select(F.col("cid").alias("cid_a"), F.col("row_id").alias("ra"), F.col("p4").alias("pa"), F.col("part").alias("ta"))
     b = member.select(F.col("cid").alias("cid_b"), F.col("row_id").alias("rb"), F.col("p4").alias("pb"), F.col("part").alias("tb"))
     across = links.select("cid_a", "cid_b").join(a, "cid_a").join(b, "cid_b")
@@ -277,8 +280,8 @@ def near_pairs(df: DataFrame, id: str = "row_id", columns: tuple[str, ...] = ("t
 
 def near_classes(df: DataFrame, id: str = "row_id", columns: tuple[str, ...] = ("title", "author", "abstract", "pub_year"), threshold: float = 0.7) -> DataFrame:
     """One row per record: (row_id, class_id, n_links), the links of its class to other classes."""
-    rows = classes(df, id, columns)
-    links = similar_classes(rows, threshold)
+    member, sets = classes(df, id, columns)
+    links = similar_classes(sets, threshold)
+    discard(sets)
     ends = links.select(F.col("cid_a").alias("class_id")).unionByName(links.select(F.col("cid_b").alias("class_id"))).groupBy("class_id").agg(F.count(F.lit(1)).alias("n"))
-    rep = rows.groupBy("bag").agg(F.min("row_id").alias("class_id"))
-    return rows.select("row_id", "bag").join(rep, "bag").join(ends, "class_id", "left").select("row_id", "class_id", F.coalesce("n", F.lit(0)).alias("n_links"))
+    return member.select("row_id", F.col("cid").alias("class_id")).join(ends, "class_id", "left").select("row_id", "class_id", F.coalesce("n", F.lit(0)).alias("n_links"))

@@ -130,8 +130,8 @@ def test_near_large_nodes_are_exact(spark):
     """Forty slightly different records stay together at every level: with tiny nodes they are compared in blocks."""
     base = [f"w{k}" for k in range(60)]
     rows = [entry(i, " ".join([*base, f"x{i}"]), key=f"k{i}") for i in range(40)]
-    c = near.classes(entries(spark, rows), "row_id", ("title", "author", "abstract", "pub_year"))
-    got = near.similar_classes(c, 0.7, limit=4, max_depth=2)
+    _, sets = near.classes(entries(spark, rows), "row_id", ("title", "author", "abstract", "pub_year"))
+    got = near.similar_classes(sets, 0.7, limit=4, max_depth=2)
     assert got.count() == 40 * 39 // 2
 
 
