@@ -55,7 +55,6 @@ def _nested(x):
 
 _BIBE = "concat_ws(chr(10), '@' || type || '{' || key || ',', " + ", ".join(f"'  {n} = {{' || {_esc(n)} || '}},'" if n != "month" else f"'  month = ' || {_f(n)} || ','" for n in X.FIELDS) + ", '}')"
 add("src21_encode_bibtex", lambda s, d: records(s, d).select("row_id", F.md5(X.bibtex(T.escape_tex)).alias("digest")), R + f"SELECT row_id, md5({_BIBE}) AS digest FROM r")
-add("src22_bibtex_sink", lambda s, d: records(s, d).agg(F.sum(F.length(X.bibtex())).alias("letters")), R + f"SELECT CAST(sum(length({_BIB})) AS BIGINT) AS letters FROM r")
 _KIND = "CASE type " + " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in X.RIS_TYPES.items()) + " ELSE 'GEN' END"
 _SPAN = f"string_split(regexp_replace({_f('pages')}, '-+', '-', 'g'), '-')"
 _RIS = (f"concat_ws(chr(10), 'TY  - ' || {_KIND}, nullif(array_to_string(list_transform(string_split({_f('author')}, ' and '), lambda a: 'AU  - ' || trim(a)), chr(10)), ''), 'TI  - ' || {_f('title')}, 'JO  - ' || {_f('journal')}, 'PB  - ' || {_f('publisher')}, 'VL  - ' || {_f('volume')}, 'IS  - ' || {_f('number')}, "
@@ -67,7 +66,6 @@ _MD = f"concat_ws(chr(10), '### ' || {_f('title')}, '- **Authors:** ' || {_f('au
 add("src28_markdown_sink", lambda s, d: records(s, d).select("row_id", X.markdown().alias("md")), R + f"SELECT row_id, {_MD} AS md FROM r")
 _cell = lambda n: f"coalesce(replace({_f(n)}, '|', '\\|'), '')"
 add("src31_markdown_table", lambda s, d: records(s, d).select("row_id", X.markdown_row().alias("line")), R + f"SELECT row_id, '| ' || concat_ws(' | ', key, {_cell('type')}, {_cell('author')}, {_cell('title')}, {_cell('year')}) || ' |' AS line FROM r")
-add("src29_yaml_sink", lambda s, d: records(s, d).select("row_id", F.length(X.yaml()).alias("letters")))
 add("src32_results_export", lambda s, d: records(s, d).where(F.lower("title").contains("kriging")).select("key", "type", "title", "author", "year", "journal"), R + "SELECT key, type, title, author, year, journal FROM r WHERE contains(lower(title), 'kriging')")
 
 
@@ -85,10 +83,7 @@ add("src17_ris_keys", lambda s, d: _round(s, d, lambda r, p: B.write_text(r, X.r
 add("src33_backup", lambda s, d: _backup(s, d), R + "SELECT count(*) AS n, 0 AS missing, 0 AS extra, 0 AS changed FROM k")
 add("wf05_migrate", lambda s, d: _round(s, d, lambda r, p: r.write.parquet(p), lambda p: B.verify_copy(by_key(s, d), s.read.parquet(p))), "SELECT 0 AS missing, 0 AS extra, 0 AS changed")
 add("src13_import_strategies", lambda s, d: B.resolve_keys(records(s, d).select("key", F.col("row_id").alias("ord")), "rename").select("ord", "key"), R + "SELECT row_id AS ord, key || CASE WHEN rn > 1 THEN '_' || (rn - 1) ELSE '' END AS key FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY row_id) AS rn FROM r)")
-add("wf01_import", lambda s, d: _import(s, d), R + "SELECT count(*) AS parsed, count(*) FILTER (title <> '' AND year > 0) AS complete FROM k")
 add("wf02_export", lambda s, d: records(s, d).where("year between 2000 and 2005").join(Q.with_severity(records(s, d)).where("errors = 0").select("row_id"), "row_id", "left_semi").select("row_id", F.md5(X.bibtex()).alias("digest")))
-add("wf03_deduplicate", lambda s, d: Q.duplicate_groups(records(s, d)).groupBy(F.when(F.col("confidence") >= 0.95, "automatic").otherwise("preview").alias("mode")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("n") - 1).alias("surplus")))
-add("wf04_types", lambda s, d: records(s, d).groupBy(F.when(F.col("type").endswith("thesis"), "thesis").otherwise(F.col("type")).alias("type")).agg(F.count(F.lit(1)).alias("n")), R + "SELECT CASE WHEN type LIKE '%thesis' THEN 'thesis' ELSE type END AS type, count(*) AS n FROM r GROUP BY 1")
 
 
 def _backup(s, d):
@@ -99,20 +94,13 @@ def _backup(s, d):
     return B.verify_copy(r, back).withColumn("n", back.agg(F.count(F.lit(1))).scalar())
 
 
-def _import(s, d):
-    got = _round(s, d, lambda r, p: B.write_text(r, X.bibtex(), p), lambda p: B.read_bibtex(s, p))
-    return got.agg(F.count(F.lit(1)).alias("parsed"), F.count_if((F.col("fields")["title"] != "") & (F.col("fields")["year"] > "0")).alias("complete"))
-
 
 # the event log as a stream
 def _stream(s, d, make, mode="complete"):
     from ..streaming import log as G
 
     name = f"log_{uuid.uuid4().hex}"
-    folder = f"{d}/library_events.parquet"
-    src = G.SCHEMA
-    base = s.readStream.schema(src).parquet(folder) if _is_folder(s, folder) else s.readStream.schema(src).option("pathGlobFilter", "library_events.parquet").parquet(d)
-    out = make(G, base.withColumn("ts", F.col("event_ts").cast("timestamp")))
+    out = make(G, _log(s, d))
     place = f"{stage_dir(s)}/{name}"
     if mode == "append":
         q = out.writeStream.outputMode("append").option("checkpointLocation", place + "-state").trigger(availableNow=True).format("parquet").start(place)
@@ -127,12 +115,31 @@ def _stream(s, d, make, mode="complete"):
     return s.read.parquet(place)
 
 
+def _log(s, d):
+    from ..streaming import log as G
+
+    folder = f"{d}/library_events.parquet"
+    base = s.readStream.schema(G.SCHEMA).parquet(folder) if _is_folder(s, folder) else s.readStream.schema(G.SCHEMA).option("pathGlobFilter", "library_events.parquet").parquet(d)
+    return base.withColumn("ts", F.col("event_ts").cast("timestamp"))
+
+
 def _is_folder(s, path):
     p = s._jvm.org.apache.hadoop.fs.Path(path)
     return p.getFileSystem(s._jsc.hadoopConfiguration()).getFileStatus(p).isDirectory()
 
 
-add("evt01_stream_counts", lambda s, d: _stream(s, d, lambda G, log: log.groupBy(F.upper("event_type").alias("event_type")).agg(F.count(F.lit(1)).alias("n"))), "SELECT upper(event_type) AS event_type, count(*) AS n FROM library_events GROUP BY 1")
-add("evt02_stream_index", lambda s, d: _stream(s, d, lambda G, log: log.where("upper(event_type) like 'ENTRY_%' and entry_key is not null").groupBy(F.lower(F.trim("entry_key")).alias("entry_key")).agg(F.max("event_ts").alias("at"))), "SELECT lower(trim(entry_key)) AS entry_key, max(event_ts) AS at FROM library_events WHERE upper(event_type) LIKE 'ENTRY_%' AND entry_key IS NOT NULL GROUP BY 1")
+add("evt01_stream_counts", lambda s, d: _stream(s, d, lambda G, log: log.dropDuplicates(["event_id"]).groupBy(F.upper("event_type").alias("event_type")).agg(F.count(F.lit(1)).alias("n"))), "SELECT upper(event_type) AS event_type, count(DISTINCT event_id) AS n FROM library_events GROUP BY 1")
+
+
+def _kept_index(s, d):
+    """The upkeep of the index as a stream: each batch leaves the last change of its entries, the latest of which holds."""
+    from ..streaming import log as G
+
+    place = f"{stage_dir(s)}/index-{uuid.uuid4().hex}"
+    G.keep_index(_log(s, d), place, place + "-state").awaitTermination()
+    return s.read.parquet(place).groupBy("entry_key").agg(F.max(F.struct("at", "event_id", "change")).alias("v")).select("entry_key", "v.change", F.col("v.at").alias("at"))
+
+
+add("evt02_stream_index", _kept_index, "SELECT lower(trim(entry_key)) AS entry_key, arg_max(upper(event_type), (event_ts, event_id)) AS change, max(event_ts) AS at FROM library_events WHERE upper(event_type) LIKE 'ENTRY_%' AND entry_key IS NOT NULL GROUP BY 1")
 add("evt04_stream_progress", lambda s, d: _stream(s, d, lambda G, log: G.progress(log).select("entry_key", F.col("started").cast("timestamp_ntz").alias("started"), "n")), "SELECT lower(trim(entry_key)) AS entry_key, min(event_ts) FILTER (upper(event_type) = 'ENTRY_CREATED') AS started, count(*) AS n FROM library_events WHERE entry_key IS NOT NULL GROUP BY 1")
 add("evt05_stream_windows", lambda s, d: _stream(s, d, lambda G, log: log.groupBy(F.window("ts", "30 days").alias("w")).agg(F.count(F.lit(1)).alias("n")).select(F.col("w.start").cast("timestamp_ntz").alias("start"), "n")), "SELECT time_bucket(INTERVAL 30 DAYS, event_ts, TIMESTAMP '1970-01-01') AS start, count(*) AS n FROM library_events GROUP BY 1")

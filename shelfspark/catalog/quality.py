@@ -175,7 +175,6 @@ add("pol01_strategies", lambda s, d: Q.merge_groups(records(s, d).withColumn("g"
 add("pol02_merge", lambda s, d: Q.merge_groups(records(s, d).withColumn("g", F.col("key")), "g").select("g", "year", "publisher", "pages", "n", "modified"), _MERGED + "SELECT g, year, publisher, CASE WHEN lo IS NULL THEN pages WHEN lo = hi THEN CAST(lo AS VARCHAR) ELSE lo || '--' || hi END AS pages, n, modified FROM mg")
 add("pol03_target_key", lambda s, d: Q.merge_groups(records(s, d).withColumn("g", F.lower("title")), "g").select("g", "key"), R + f"SELECT lower(title) AS g, arg_min(key, (-({_NF}), added, row_id)) AS key FROM r GROUP BY 1")
 add("pol04_fixups", lambda s, d: records(s, d).select("row_id", F.coalesce(T.filled(F.col("author")), T.filled(F.col("editor"))).alias("author")), R + "SELECT row_id, coalesce(nullif(author, ''), nullif(editor, '')) AS author FROM r")
-add("pol05_merge_command", lambda s, d: Q.merge_groups(records(s, d).withColumn("g", F.col("key")), "g").select("key", F.xxhash64("abstract").isNotNull().alias("kept"), "n"), _MERGED + "SELECT key, true AS kept, n FROM mg")
 add("str31_pages", lambda s, d: Q.merge_groups(records(s, d).withColumn("g", F.col("journal")).where("g != ''"), "g").select("g", "pages"), R + "SELECT g, CASE WHEN lo IS NULL THEN pages WHEN lo = hi THEN CAST(lo AS VARCHAR) ELSE lo || '--' || hi END AS pages FROM (SELECT journal AS g, " + _LONG("pages") + ", min(list_min(nums)) AS lo, max(list_max(nums)) AS hi FROM (SELECT *, list_filter(list_transform(string_split(regexp_replace(pages, '--|,', '-', 'g'), '-'), lambda x: TRY_CAST(trim(x) AS INT)), lambda x: x IS NOT NULL) AS nums FROM r WHERE journal <> '') GROUP BY 1)")
 _LN = r"lower(CASE WHEN contains(name, ',') THEN trim(split_part(name, ',', 1)) ELSE regexp_extract(trim(name), '(\S+)$', 1) END)"
 add("str30_authors", lambda s, d: Q.smart_authors(records(s, d), "key"), R + f"SELECT key, string_agg(name, ' and ' ORDER BY seen) AS author FROM (SELECT key, {_LN} AS last, min((added, row_id, pos)) AS seen, arg_min(name, (-length(name), added, row_id, pos)) AS name FROM (SELECT key, added, row_id, trim(unnest(string_split(author, ' and '))) AS name, unnest(range(len(string_split(author, ' and ')))) AS pos FROM r WHERE author <> '') WHERE name <> '' GROUP BY ALL) GROUP BY 1")
@@ -184,11 +183,8 @@ for _s in ("skip", "replace", "rename", "merge", "ask"):
     add(f"pol07_{_s}", lambda s, d, st=_s: Q.conflict(records(s, d).where("year >= 2010").select("key", "title", "doi"), by_key(s, d).where("type = 'article'"), st), R + f"SELECT n.key, CASE WHEN o.key IS NULL THEN 'create' ELSE {_out} END AS outcome FROM (SELECT key, title, doi FROM r WHERE year >= 2010) n LEFT JOIN (SELECT * FROM k WHERE type = 'article') o ON n.key = o.key")
 add("pol09_update_existing", lambda s, d: _update(s, d), R + "SELECT k.key, coalesce(n.url, k.url) AS url, coalesce(n.doi, k.doi) AS doi FROM k LEFT JOIN (SELECT key, max(url) AS url, max(doi) AS doi FROM r GROUP BY 1) n ON k.key = n.key")
 add("pol10_create", lambda s, d: _create(s, d), ISSUES + "SELECT k.key FROM k WHERE year >= 2015 AND key NOT IN (SELECT key FROM r WHERE year < 2015) AND row_id NOT IN (SELECT row_id FROM iss WHERE severity = 'error')")
-add("pol11_atomic", lambda s, d: Q.with_severity(records(s, d)).agg((F.count_if(F.col("errors") > 0) == 0).alias("commits"), F.count_if(F.col("errors") > 0).alias("bad")), ISSUES + "SELECT count(DISTINCT row_id) = 0 AS commits, count(DISTINCT row_id) AS bad FROM iss WHERE severity = 'error'")
-add("pol12_update", lambda s, d: by_key(s, d).select("key", F.when(F.col("type") == "online", F.lit(None)).otherwise(F.col("pages")).alias("pages")), R + "SELECT key, CASE WHEN type = 'online' THEN NULL ELSE pages END AS pages FROM k")
 add("pol13_cascade", lambda s, d: _cascade(s, d), R + "SELECT id, count(*) FILTER (m IS NOT NULL AND m NOT IN (SELECT lower(trim(key)) FROM k WHERE type = 'misc')) AS n FROM (SELECT id, lower(trim(unnest(CASE WHEN len(entry_keys) = 0 THEN [NULL] ELSE entry_keys END))) AS m FROM coll WHERE entry_keys IS NOT NULL) GROUP BY 1")
 add("pol14_postconditions", lambda s, d: Q.merge_groups(records(s, d).withColumn("g", F.col("key")), "g").agg(F.count(F.lit(1)).alias("kept"), F.sum("n").alias("sources")), R + "SELECT count(DISTINCT key) AS kept, count(*) AS sources FROM r")
-add("pol16_post_import", lambda s, d: records(s, d).select("row_id", F.array_contains(F.array_union("tags", F.array(F.lit("imported"))), "imported").alias("tagged")), R + "SELECT row_id, true AS tagged FROM r")
 
 
 def _update(s, d):

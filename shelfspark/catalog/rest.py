@@ -37,22 +37,14 @@ def _store(s, df, write, read):
 
 
 # stores and formats
-add("src08_json_store", lambda s, d: _store(s, by_key(s, d).select("key", "type", "title", "year"), lambda df, p: df.write.json(p), lambda p: s.read.schema("key string, type string, title string, year int").json(p)), R + "SELECT key, type, title, year FROM k")
-add("src09_versions", lambda s, d: _store(s, by_key(s, d).select("key", "year"), lambda df, p: (df.write.parquet(f"{p}/version=1"), df.where("year > 2000").write.parquet(f"{p}/version=2")), lambda p: s.read.parquet(p)).groupBy(F.col("version").cast("int").alias("version")).agg(n_()), R + "SELECT 1 AS version, count(*) AS n FROM k UNION ALL SELECT 2, count(*) FROM k WHERE year > 2000")
-add("src10_snapshot", lambda s, d: by_key(s, d).where("type = 'book'").select("key"), R + "SELECT key FROM k WHERE type = 'book'")
-add("src11_upsert_store", lambda s, d: records(s, d).groupBy("key").agg(F.max_by("title", "row_id").alias("title")), R + "SELECT key, arg_max(title, row_id) AS title FROM r GROUP BY 1")
 add("src14_many_files", lambda s, d: _store(s, by_key(s, d), lambda df, p: (B.write_text(df.where("year < 2000"), X.bibtex(), p + "/a"), B.write_text(df.where("year >= 2000"), X.bibtex(), p + "/b")), lambda p: B.read_bibtex(s, [p + "/a", p + "/b"])).groupBy("type").agg(n_()), R + "SELECT type, count(*) AS n FROM k WHERE year IS NOT NULL GROUP BY 1")
-add("src18_encoding", lambda s, d: by_key(s, d).select("key", F.decode(F.encode(F.col("title"), "UTF-8"), "UTF-8").alias("title")), R + "SELECT key, title FROM k")
 add("src19_json_source", lambda s, d: _store(s, by_key(s, d).select("key", "type", "title"), lambda df, p: df.select(F.concat(F.lit('{"entries":['), F.to_json(F.struct("key", "type", "title")), F.lit("]}")).alias("value")).write.text(p), lambda p: s.read.text(p).select(F.explode(F.from_json(F.get_json_object("value", "$.entries"), "array<map<string,string>>")).alias("m"))).select(F.col("m")["key"].alias("key"), F.col("m")["type"].alias("type")), R + "SELECT key, type FROM k")
-add("src20_sniff", lambda s, d: records(s, d).select("row_id", F.when(F.substring(X.bibtex(), 1, 1000).rlike(r"^\s*@\w+\s*\{"), "bibtex").otherwise("unknown").alias("format")), R + "SELECT row_id, 'bibtex' AS format FROM r")
-add("src24_wrapped_ris", lambda s, d: records(s, d).where("abstract != ''").select("row_id", F.size(F.regexp_extract_all("abstract", F.lit(r"(\S[\s\S]{0,69}(?=\s|$)|\S{70,})"), F.lit(1))).cast("bigint").alias("lines")))
 add("src27_csv_format", lambda s, d: records(s, d).select("row_id", F.to_csv(F.struct("key", "type", F.col("year").cast("string").alias("year")), {"sep": ";", "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}).alias("line")), R + "SELECT row_id, concat_ws(';', key, type, coalesce(CAST(year AS VARCHAR), '')) AS line FROM r")
 add("src30_json_format", lambda s, d: S.search(records(s, d), "kriging").select("row_id", F.get_json_object(F.to_json(F.struct("key", "title")), "$.key").alias("key")), RK + f"SELECT row_id, key FROM rk WHERE {_has('kriging')}")
 add("src29b_yaml_lines", lambda s, d: records(s, d).select("row_id", F.split(X.yaml(), "\n")[0].alias("line")), R + "SELECT row_id, '- key: \"' || replace(replace(key, '\\', '\\\\'), '\"', '\\\"') || '\"' AS line FROM r")
 
 # keys, documents, paths
 add("prj07_auto_key", lambda s, d: records(s, d).where("author != '' and title != ''").select("row_id", F.concat(F.lower(F.regexp_replace(T.unaccent(T.last_name(F.trim(F.substring_index("author", " and ", 1)))), "[^A-Za-z]", "")), F.coalesce(F.col("year").cast("string"), F.lit("")), F.coalesce(F.try_element_at(F.filter(T.tokens(F.col("title")), lambda w: ~w.isin("a", "an", "the")), F.lit(1)), F.lit(""))).alias("new_key")))
-add("prj14_document", lambda s, d: records(s, d).select("row_id", F.size(T.tokens(F.col("abstract"))).cast("bigint").alias("n_tokens"), F.size(T.people(F.col("author"))).cast("bigint").alias("n_authors")), R + r"SELECT row_id, len(regexp_extract_all(lower(abstract), '[\p{L}\p{N}_]+')) AS n_tokens, len(list_filter(list_transform(regexp_split_to_array(coalesce(author, ''), '\s+and\s+'), lambda x: trim(x)), lambda x: x <> '')) AS n_authors FROM r")
 add("join13_parent_names", lambda s, d: _parents(s, d), R + "SELECT c.id, p.coll_name AS parent_name FROM coll c JOIN coll p ON lower(trim(c.parent_id)) = p.id")
 add("join17_parent_paths", lambda s, d: hierarchy(read_table(s, d, "collections")).select("id", F.array_join("path", " > ").alias("path")), _ALL + "SELECT id, path FROM every")
 add("agg11_search_facets", lambda s, d: E.Service(records(s, d)).search("kriging").facets, RK + " , hit AS (SELECT * FROM rk WHERE " + _has("kriging") + ") " + " UNION ALL ".join(f"SELECT '{f}' AS field, CAST({f} AS VARCHAR) AS value, count(*) AS n FROM hit WHERE CAST({f} AS VARCHAR) <> '' GROUP BY 2" for f in ("type", "year", "journal")))
@@ -76,7 +68,6 @@ add("srch41_field_rewrite", lambda s, d: S.searchable(records(s, d)).where(S.eva
 add("srch43_relaxed_prefix", lambda s, d: S.searchable(records(s, d)).where(S.evaluate(E.L.relaxed(E.L.parse("krig"), 3))[0]).select("row_id"), RK + f"SELECT row_id FROM rk WHERE {_has('krig')} OR " + " OR ".join(f"coalesce(regexp_matches({f}, '(?i)krig.*'), false)" for f in S.FIELDS))
 add("srch47_quotes", lambda s, d: notes(s, d).where(F.lower("content").contains("title") & F.col("note_type").isin("ana", "chen")).select("note_id", "version"), R + "SELECT note_id, version FROM note WHERE contains(lower(content), 'title') AND note_type IN ('ana', 'chen')")
 add("rank08_weights", lambda s, d: records(s, d).select("row_id", sum((F.when(T.term_count(F.col(f), "otter") > 0, F.lit(S.WEIGHTS[f])).otherwise(0.0) for f in ("title", "abstract", "author", "journal")), F.lit(0.0)).alias("weight")).where("weight > 0").select("row_id", F.round("weight", 4).alias("weight")), R + "SELECT row_id, round(w, 4) AS weight FROM (SELECT row_id, " + " + ".join(f"CASE WHEN contains(lower({f}), 'otter') THEN {S.WEIGHTS[f]} ELSE 0.0 END" for f in ("title", "abstract", "author", "journal")) + " AS w FROM r) WHERE w > 0")
-add("crud28_index_facade", lambda s, d: records(s, d).agg(F.count(F.lit(1)).alias("docs"), F.countDistinct("type").alias("types"), F.countDistinct("year").alias("years")), R + "SELECT count(*) AS docs, count(DISTINCT type) AS types, count(DISTINCT year) AS years FROM r")
 add("crud29_suggest", lambda s, d: S.suggest(records(s, d), "tow", "title", 8), R + "SELECT DISTINCT title FROM r WHERE lower(title) LIKE 'tow%' ORDER BY title LIMIT 8")
 
 
@@ -92,19 +83,13 @@ def _bm25(s, d):
 
 
 # text
-add("str07_analyzers", lambda s, d: records(s, d).select("row_id", F.size(F.filter(T.tokens(F.col("title")), lambda w: ~w.isin(*S.STOPWORDS))).cast("bigint").alias("n")), R + "SELECT row_id, len(list_filter(regexp_extract_all(lower(title), '[\\p{L}\\p{N}_]+'), lambda w: w NOT IN ('the', 'a', 'an', 'and', 'or', 'but', 'in', 'on', 'at'))) AS n FROM r")
-add("str13_spell_check", lambda s, d: _rare_terms(s, d), R + "SELECT term FROM (SELECT unnest(regexp_extract_all(lower(title), '[\\p{L}\\p{N}_]+')) AS term FROM r) GROUP BY 1 HAVING count(*) = 1")
 add("str15_normal_title", lambda s, d: records(s, d).select("row_id", T.normal_text(F.col("title")).alias("title")), _TAY + "SELECT row_id, split_part(tay_key, '|', 1) AS title FROM dk")
 add("str16_normal_authors", lambda s, d: records(s, d).select("row_id", T.normal_people(F.col("author")).alias("people")), _TAY + "SELECT r.row_id, coalesce(au.people, '') AS people FROM r LEFT JOIN au USING (row_id)")
 add("str17_key_counts", lambda s, d: Q.duplicate_keys(records(s, d)).groupBy("tay_key").agg(n_()).where("n > 1"), _TAY + "SELECT tay_key, count(*) AS n FROM dk GROUP BY 1 HAVING count(*) > 1")
-add("str27_definitions", lambda s, d: records(s, d).select("row_id", F.regexp_extract(F.concat(F.lit('@string{'), F.coalesce("month", F.lit("none")), F.lit(' = "x"}')), r"\{(\w+)\s*=", 1).alias("name")), R + "SELECT row_id, regexp_extract('@string{' || coalesce(month, 'none') || ' = \"x\"}', '\\{(\\w+)\\s*=', 1) AS name FROM r")
 add("str26_month_names", lambda s, d: records(s, d).select("row_id", F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in _MONTHS.items() for x in kv]), F.lower("month")), F.col("month")).alias("month")), R + "SELECT row_id, CASE lower(month) " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in {"jan": "January", "feb": "February", "mar": "March", "apr": "April", "jun": "June", "jul": "July", "aug": "August", "sep": "September", "oct": "October", "nov": "November", "dec": "December"}.items()) + " ELSE month END AS month FROM r")
 _MONTHS = {"jan": "January", "feb": "February", "mar": "March", "apr": "April", "jun": "June", "jul": "July", "aug": "August", "sep": "September", "oct": "October", "nov": "November", "dec": "December"}
 
 
-def _rare_terms(s, d):
-    return records(s, d).select(F.explode(T.tokens(F.col("title"))).alias("term")).groupBy("term").agg(n_()).where("n = 1").select("term")
-
 
 def _u():
     from ..functions import udfs
@@ -114,18 +99,13 @@ def _u():
 
 for _name, _words, _phrases, _most in (("hl03_terms", ["otter"], (), None), ("hl04_phrases", [], ("drawn from",), None), ("hl06_merged", ["otter", "otters"], ("otter",), None), ("hl07_snippet", ["otter"], (), 80), ("hl09_best", ["otter", "comet"], (), 120)):
     add(_name, lambda s, d, w=_words, p=_phrases, m=_most: records(s, d).where("abstract is not null").select("row_id", _u().marked(w, p, m)(F.col("abstract")).alias("value")))
-add("hl05_wildcards", lambda s, d: records(s, d).select("row_id", F.regexp_replace("title", r"(?i)\b(archiv\w*)", "<mark>$1</mark>").alias("title")), R + r"SELECT row_id, regexp_replace(title, '(?i)\b(archiv\w*)', '<mark>\1</mark>', 'g') AS title FROM r")
 add("hl08_tags", lambda s, d: records(s, d).select("row_id", S.highlight(F.col("title"), ["the"], "em").alias("title")), R + "SELECT row_id, regexp_replace(title, '(?i)the', '<em>the</em>', 'g') AS title FROM r")
 add("win09_clusters", lambda s, d: records(s, d).where("abstract is not null").select("row_id", _u().marked(["otter", "comet", "kriging"], (), 60)(F.col("abstract")).alias("value")))
 add("win10_windows", lambda s, d: records(s, d).where("abstract is not null").select("row_id", F.length(_u().marked(["future"], (), 100)(F.col("abstract"))).alias("value")))
 
 # duplicates and policies
 add("ddp03_tolerance", lambda s, d: _tolerant(s, d), _TAY + "SELECT min(row_id) AS first, count(*) AS n FROM (SELECT *, sum(CASE WHEN gap THEN 1 ELSE 0 END) OVER (PARTITION BY g ORDER BY year, row_id) AS island FROM (SELECT r.row_id, r.year, regexp_replace(tay_key, '[|][^|]*$', '') AS g, r.year - lag(r.year) OVER (PARTITION BY regexp_replace(tay_key, '[|][^|]*$', '') ORDER BY r.year, r.row_id) > 1 AS gap FROM dk JOIN r USING (row_id) WHERE r.year IS NOT NULL)) GROUP BY g, island HAVING count(*) > 1")
-add("ddp06_suggestions", lambda s, d: _suggest(s, d), R + "SELECT key, CASE WHEN length(max(title)) >= length(min(title)) THEN 'longer title' ELSE 'first title' END AS title_hint, count(DISTINCT doi) AS dois FROM r GROUP BY key HAVING count(*) > 1")
 add("ddp08_field_agreement", lambda s, d: _agree(s, d), R + "SELECT key, CASE WHEN f = 0 THEN 0.5 ELSE round(e / f, 6) END AS confidence FROM (SELECT a.key, " + " + ".join(f"CAST(coalesce(a.{c} = b.{c}, false) AS INT)" for c in ("title", "author", "journal", "pages", "doi")) + " AS e, " + " + ".join(f"CAST(a.{c} IS NOT NULL AND b.{c} IS NOT NULL AS INT)" for c in ("title", "author", "journal", "pages", "doi")) + " AS f FROM (SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY key ORDER BY row_id) = 1) a JOIN (SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY key ORDER BY row_id) = 2) b ON a.key = b.key)")
-add("ddp10_rules", lambda s, d: Q.duplicate_groups(records(s, d)).select("first", F.when(F.col("confidence") >= 0.95, "r1").when((F.col("confidence") >= 0.8) & (F.col("n") > 2), "r2").otherwise("none").alias("rule")), _TAY + "SELECT first, CASE WHEN confidence >= 0.95 THEN 'r1' WHEN confidence >= 0.8 AND n > 2 THEN 'r2' ELSE 'none' END AS rule FROM grp")
-add("pol06_auto_merge", lambda s, d: _auto(s, d), _TAY + "SELECT count(*) AS records, count(DISTINCT tay_key) AS kept FROM dk")
-add("pol08_unique_keys", lambda s, d: _unique(s, d), R + "SELECT key, key || '_' || (SELECT min(i) FROM range(1, 1000) t(i) WHERE k.key || '_' || i NOT IN (SELECT key FROM k)) AS free_key FROM k WHERE type = 'misc'")
 
 
 def _tolerant(s, d):
@@ -134,10 +114,6 @@ def _tolerant(s, d):
     return J.year_islands(g, ["g"], "year", 1).groupBy("g", "island").agg(F.min("row_id").alias("first"), n_()).where("n > 1").select("first", "n")
 
 
-def _suggest(s, d):
-    g = records(s, d).groupBy("key").agg(F.max("title").alias("a"), F.min("title").alias("b"), F.countDistinct("doi").alias("dois"), n_()).where("n > 1")
-    return g.select("key", F.when(F.length("a") >= F.length("b"), "longer title").otherwise("first title").alias("title_hint"), "dois")
-
 
 def _agree(s, d):
     """Share of equal fields of the first two records of a key: both found by aggregates, joined by row id."""
@@ -152,36 +128,18 @@ def _agree(s, d):
     return two.join(a, "r1").join(b, "r2").select("key", e.alias("e"), f.alias("f")).select("key", F.when(F.col("f") == 0, 0.5).otherwise(F.round(F.col("e") / F.col("f"), 6)).alias("confidence"))
 
 
-def _auto(s, d):
-    r = records(s, d).withColumn("g", T.title_author_year(F.col("title"), F.col("author"), F.col("year")))
-    return Q.merge_groups(r, "g").agg(F.sum("n").alias("records"), F.count(F.lit(1)).alias("kept"))
-
-
-def _unique(s, d):
-    k = by_key(s, d)
-    cand = k.where("type = 'misc'").select("key", F.explode(F.sequence(F.lit(1), F.lit(999))).alias("i")).withColumn("cand", F.concat_ws("_", "key", F.col("i").cast("string")))
-    free = cand.join(k.select(F.col("key").alias("cand")), "cand", "left_anti")
-    return free.groupBy("key").agg(F.min_by("cand", "i").alias("free_key"))
 
 
 # side tables
-add("crud02_transaction", lambda s, d: _store(s, by_key(s, d).select("key"), lambda df, p: df.write.parquet(p), lambda p: s.read.parquet(p)), R + "SELECT key FROM k")
-add("crud04_save_collection", lambda s, d: collections(s, d).select("id", F.coalesce("coll_name", F.lit("(unnamed)")).alias("coll_name")), R + "SELECT id, coalesce(coll_name, '(unnamed)') AS coll_name FROM coll")
 add("crud09_list", lambda s, d: collections(s, d).where("coll_name is not null").orderBy("coll_name", "id").select("coll_name", "id"), R + "SELECT coll_name, id FROM coll WHERE coll_name IS NOT NULL")
 add("crud11_entries", lambda s, d: collections(s, d).select("id", F.posexplode("entry_keys").alias("pos", "k")).select("id", F.col("pos").cast("bigint").alias("pos"), "k"), R + "SELECT id, unnest(range(len(entry_keys))) AS pos, unnest(entry_keys) AS k FROM coll")
-add("crud13_delete", lambda s, d: collections(s, d).where("coll_name is null or coll_name != 'Thesis'").select("id"), R + "SELECT id FROM coll WHERE coll_name IS DISTINCT FROM 'Thesis'")
-add("crud14_create", lambda s, d: collections(s, d).select("id", F.coalesce(F.trim("coll_name") != "", F.lit(False)).alias("valid")), R + "SELECT id, coalesce(trim(coll_name) <> '', false) AS valid FROM coll")
 add("crud20_first_versions", lambda s, d: notes(s, d).where("version = 1").select("note_id", "event_ts"), R + "SELECT note_id, event_ts FROM note WHERE version = 1")
 add("crud23_quotes", lambda s, d: notes(s, d).where("note_type = 'importer'").select("note_id", "version", "event_ts").orderBy("event_ts"), R + "SELECT note_id, version, event_ts FROM note WHERE note_type = 'importer'")
 add("crud25_migrate_all", lambda s, d: metadata(s, d).select(F.lit("metadata").alias("what")).unionByName(sessions(s, d).select(F.lit("sessions").alias("what"))).unionByName(events(s, d).select(F.lit("events").alias("what"))).groupBy("what").agg(n_()), R + "SELECT 'metadata' AS what, count(*) AS n FROM meta UNION ALL SELECT 'sessions', count(*) FROM sess UNION ALL SELECT 'events', count(*) FROM ev")
 add("crud26_verified_copy", lambda s, d: _store(s, by_key(s, d), lambda df, p: df.write.parquet(p), lambda p: B.verify_copy(by_key(s, d), s.read.parquet(p).where("year is null or year > 1900"))), R + "SELECT count(*) FILTER (year <= 1900) AS missing, 0 AS extra, 0 AS changed FROM k")
 add("crud27_rebuild", lambda s, d: S.postings(S.searchable(by_key(s, d))).agg(F.countDistinct("row_id").alias("docs")), R + r"SELECT count(*) AS docs FROM k WHERE regexp_matches(concat_ws(' ', title, author, abstract, journal, array_to_string(keywords, ' ')), '[\p{L}\p{N}_]')")
-add("crud36_batches", lambda s, d: records(s, d).groupBy(F.floor((F.col("row_id") - 1) / 100).alias("batch")).agg(n_()), R + "SELECT CAST(floor((row_id - 1) / 100) AS BIGINT) AS batch, count(*) AS n FROM r GROUP BY 1")
-add("crud39_from_map", lambda s, d: records(s, d).select("row_id", F.from_json(F.to_json(F.struct("key", "year")), "key string, year int").alias("m")).select("row_id", "m.key", "m.year"), R + "SELECT row_id, key, year FROM r")
 add("crud42_single_entry", lambda s, d: _store(s, by_key(s, d).where("type = 'misc'"), lambda df, p: B.write_text(df, X.bibtex(), p), lambda p: B.read_bibtex(s, p)).select("key", "type"), R + "SELECT trim(key) AS key, type FROM k WHERE type = 'misc'")
-add("wf08_tree", lambda s, d: s.createDataFrame(E.tree_rows({"A": {"B": {"C": None}}, "D": None}), "name string, parent string"), "SELECT * FROM (VALUES ('A', NULL), ('B', 'A'), ('C', 'B'), ('D', NULL)) t(name, parent)")
 add("wf10_collection_tree", lambda s, d: _listed(s, d), _ALL + "SELECT row_number() OVER (ORDER BY path_ids) AS place, every.id, l.name, p.id AS parent, depth FROM every JOIN link l ON l.id = every.id LEFT JOIN link p ON p.cid = l.parent")
-add("fmt09_report_rows", lambda s, d: Q.issues(records(s, d)).groupBy("severity").agg(n_()))
 
 
 def _listed(s, d):

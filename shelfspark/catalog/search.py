@@ -130,7 +130,6 @@ add("str04_camel", lambda s, d: records(s, d).select("row_id", T.camel_split(F.c
 add("str06_ngrams", lambda s, d: records(s, d).select(F.explode(T.tokens(F.col("title"))).alias("w")).distinct().select(F.explode(T.ngrams(F.col("w"), 3)).alias("gram")).groupBy("gram").agg(F.count(F.lit(1)).alias("n")), R + f"SELECT gram, count(*) AS n FROM (SELECT CASE WHEN length(w) <= 3 THEN w ELSE substr(w, CAST(i AS INT), 3) END AS gram FROM (SELECT w, unnest(range(1, greatest(length(w) - 2, 1) + 1)) AS i FROM (SELECT DISTINCT unnest({TOK('title')}) AS w FROM r))) GROUP BY 1")
 add("str08_keyword_analyzer", lambda s, d: records(s, d).select("row_id", F.lower(F.trim("journal")).alias("token")), R + "SELECT row_id, lower(trim(journal)) AS token FROM r")
 add("str09_author_analyzer", lambda s, d: records(s, d).where("author != ''").select("row_id", F.explode(F.array_distinct(F.filter(F.transform(F.split("author", " and |,"), lambda x: F.lower(F.trim(F.regexp_replace(x, "[{}.]", "")))), lambda x: x != ""))).alias("part")), R + "SELECT DISTINCT row_id, part FROM (SELECT row_id, lower(trim(regexp_replace(unnest(regexp_split_to_array(author, ' and |,')), '[{}.]', '', 'g'))) AS part FROM r WHERE author <> '') WHERE part <> ''")
-add("str12_synonyms", lambda s, d: records(s, d).select(F.explode(T.tokens(F.col("title"))).alias("term")).where(F.col("term").isin("thesauri", "lexicons", "glossaries")).groupBy("term").agg(F.count(F.lit(1)).alias("n")), R + f"SELECT term, count(*) AS n FROM (SELECT unnest({TOK('title')}) AS term FROM r) WHERE term IN ('thesauri', 'lexicons', 'glossaries') GROUP BY 1")
 add("str14_doi", lambda s, d: records(s, d).select("row_id", T.normal_doi(F.col("doi")).alias("doi")), R + r"SELECT row_id, regexp_replace(lower(trim(doi)), '^(https?://doi\.org/|https?://dx\.doi\.org/|doi:)', '') AS doi FROM r")
 add("str23_protect", lambda s, d: records(s, d).select("row_id", T.protect(F.col("title"), ["Editorial", "Preface"]).alias("title")), R + r"SELECT row_id, regexp_replace(regexp_replace(title, '(?i)\bEditorial\b', '{Editorial}', 'g'), '(?i)\bPreface\b', '{Preface}', 'g') AS title FROM r")
 _ESC = "title"
@@ -162,9 +161,14 @@ def _u():
 
 _udf("str01_analyze", "title", lambda: F.array_join(_u().stems(F.filter(T.tokens(T.unaccent(T.camel_split(F.col("title")))), lambda w: F.length(w).between(2, 50) & ~w.isin(*S.STOPWORDS))), " "))
 _udf("str05_stem", "title", lambda: F.array_join(_u().stems(T.tokens(F.col("title"))), " "))
-_udf("str18_parse_name", "author", lambda: _u().parse_name(F.substring_index("author", " and ", 1))["last"])
-_udf("str19_name_pattern", "author", lambda: _u().format_names("{ff }{vv }{ll}{, jj}")(F.substring_index("author", " and ", 1)))
-_udf("str20_abbreviate", "author", lambda: _u().abbreviate(F.array_join(_u().parse_name(F.substring_index("author", " and ", 1))["first"], " ")))
+def _person(name, run):
+    """Queries over Arrow functions on each name of the author field."""
+    add(name, lambda s, d: records(s, d).select("row_id", F.posexplode(T.people(F.col("author"))).alias("pos", "name")).select("row_id", "pos", run(F.col("name")).alias("value")))
+
+
+_person("str18_parse_name", lambda c: _u().parse_name(c)["last"])
+_person("str19_name_pattern", lambda c: _u().format_names("{ff }{vv }{ll}{, jj}")(c))
+_person("str20_abbreviate", lambda c: _u().abbreviate(F.array_join(_u().parse_name(c)["first"], " ")))
 _udf("str21_title_case", "title", lambda: _u().recase("t")(F.col("title")))
 _udf("str22_purify", "title", lambda: _u().purify(F.col("title")))
 _udf("hl02_snippets", "abstract", lambda: _u().marked(["kriging", "otter"], ("earlier accounts",))(F.col("abstract")))

@@ -146,15 +146,8 @@ C.add("prj10_title_year", lambda s, d: records(s, d).where("title != '' and year
       R + "SELECT row_id, " + _SAN.format(x=r"concat_ws(chr(95), array_to_string(list_transform(list_filter(regexp_split_to_array(lower(trim(title)), '\s+'), lambda w: length(w) > 3)[1:3], lambda w: regexp_replace(w, '[^\p{L}\p{N}_]', '', 'g')), '_'), CAST(year AS VARCHAR))") + " AS new_key FROM r WHERE title <> '' AND year IS NOT NULL")
 C.add("prj11_numeric_key", lambda s, d: records(s, d).select("row_id", F.concat_ws("_", "type", F.date_format("added", "yyyyMMddHHmmss")).alias("new_key")), R + "SELECT row_id, type || '_' || strftime(added, '%Y%m%d%H%M%S') AS new_key FROM r")
 C.add("prj12_sanitize", lambda s, d: records(s, d).select("row_id", T.sanitize_key(F.col("title")).alias("safe")), R + "SELECT row_id, " + _SAN.format(x="title") + " AS safe FROM r")
-C.add("prj13_free_key", lambda s, d: _free(s, d), R + "SELECT k.key, k.key || (SELECT min(s) FROM (SELECT chr(CAST(96 + i AS INT)) AS s FROM range(1, 27) t(i)) c WHERE k.key || s NOT IN (SELECT key FROM k)) AS free_key FROM k")
 
 
-def _free(s, d):
-    """The first of key+a, key+b ... that nobody has; candidates meet the taken keys by equi-join."""
-    k = by_key(s, d).select("key")
-    cand = k.select("key", F.explode(F.array(*[F.lit(chr(c)) for c in range(97, 123)])).alias("suffix")).withColumn("cand", F.concat("key", "suffix"))
-    return cand.join(k.select(F.col("key").alias("cand")), "cand", "left_anti").groupBy("key").agg(F.min("cand").alias("free_key"))
-
 
 C.add("prj15_derived", lambda s, d: records(s, d).select("row_id", F.expr("try_cast(split_part(volume, '-', 1) as int)").alias("volume_int"), F.expr("try_cast(split_part(number, '-', 1) as int)").alias("number_int"), F.size("keywords").alias("n_keywords")), R + "SELECT row_id, TRY_CAST(split_part(volume, '-', 1) AS INT) AS volume_int, TRY_CAST(split_part(number, '-', 1) AS INT) AS number_int, len(keywords) AS n_keywords FROM r")
 C.add("prj16_doc_metadata", lambda s, d: records(s, d).select("row_id", sum((F.coalesce(F.length(c), F.lit(0)) for c in ("title", "author", "abstract", "journal")), F.lit(0)).cast("bigint").alias("text_length")), R + "SELECT row_id, coalesce(length(title), 0) + coalesce(length(author), 0) + coalesce(length(abstract), 0) + coalesce(length(journal), 0) AS text_length FROM r")
@@ -185,7 +178,6 @@ C.add("prj21_rename_fields", lambda s, d: records(s, d).select("row_id", F.coale
 _MAP = {"phdthesis": "thesis", "mastersthesis": "thesis", "techreport": "report"}
 C.add("prj22_retype", lambda s, d: records(s, d).select("row_id", F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in _MAP.items() for x in kv]), F.col("type")), F.col("type")).alias("type")), R + "SELECT row_id, CASE type WHEN 'phdthesis' THEN 'thesis' WHEN 'mastersthesis' THEN 'thesis' WHEN 'techreport' THEN 'report' ELSE type END AS type FROM r")
 C.add("prj23_fill_required", lambda s, d: records(s, d).where("type = 'article'").select("row_id", F.coalesce(T.filled(F.col("author")), F.lit("Unknown")).alias("author"), F.coalesce(T.filled(F.col("journal")), F.lit("Unknown")).alias("journal")), R + "SELECT row_id, coalesce(nullif(author, ''), 'Unknown') AS author, coalesce(nullif(journal, ''), 'Unknown') AS journal FROM r WHERE type = 'article'")
-C.add("prj24_upgrade", lambda s, d: records(s, d).select("row_id", F.lit("2.0").alias("format_version")), R + "SELECT row_id, '2.0' AS format_version FROM r")
 C.add("prj25_changes", lambda s, d: _changes(s, d), R + f"SELECT row_id, field, old, new FROM (SELECT r.row_id, unnest(['title', 'author', 'pages']) AS field, unnest([r.title, r.author, r.pages]) AS old, unnest([c.title, c.author, c.pages]) AS new FROM r JOIN ({_CLEAN}) c USING (row_id)) WHERE old IS DISTINCT FROM new")
 
 

@@ -11,11 +11,26 @@ from pyspark.sql import functions as F
 from . import querylang as L
 from . import search as S
 
-#: Fields and how each is analysed.
-ANALYZERS = {"title": "stemming", "abstract": "stemming", "author": "author", "editor": "author", "key": "keyword", "doi": "keyword", "journal": "standard", "booktitle": "standard", "keywords": "standard", "publisher": "simple", "note": "stemming"}
-SEARCHABLE = {"title", "abstract", "author", "editor", "journal", "booktitle", "keywords", "publisher", "note", "year", "volume", "type", "doi", "key", "tag", "tags"}
-#: Fixed field expansions.
-FIELD_EXPANSION = {"title": {"title": 1.0, "abstract": 0.5}, "author": {"author": 1.0, "editor": 0.8}, "venue": {"journal": 1.0, "booktitle": 1.0}, "content": {"title": 1.0, "abstract": 0.8, "keywords": 0.9}}
+#: How each field is analysed; others "standard".
+ANALYZERS = {
+    "title": "stemming", "abstract": "stemming", "keywords": "stemming", "note": "standard", "author": "author", "editor": "author", "journal": "keyword", "booktitle": "keyword", "publisher": "keyword",
+    "series": "keyword", "school": "keyword", "institution": "keyword", "organization": "keyword", "doi": "keyword", "isbn": "keyword", "issn": "keyword", "url": "keyword",
+}
+#: The fields of the index (name, kind, boost).
+FIELDS = [
+    ("title", "text", 2.0), ("abstract", "text", 1.0), ("author", "text", 1.5), ("editor", "text", 1.2), ("note", "text", 0.5), ("journal", "keyword", 1.0), ("booktitle", "keyword", 1.0), ("publisher", "keyword", 0.8),
+    ("series", "keyword", 0.8), ("school", "keyword", 0.8), ("institution", "keyword", 0.8), ("organization", "keyword", 0.8), ("keywords", "keyword", 1.2), ("tags", "keyword", 1.0), ("entry_type", "keyword", 1.0), ("key", "keyword", 1.0),
+    ("doi", "keyword", 1.0), ("isbn", "keyword", 1.0), ("issn", "keyword", 1.0), ("url", "keyword", 1.0), ("year", "numeric", 1.0), ("volume", "numeric", 1.0), ("number", "numeric", 1.0), ("chapter", "numeric", 1.0),
+    ("added", "date", 1.0), ("modified", "date", 1.0), ("content", "text", 0.8), ("search_text", "text", 1.0), ("author_list", "stored", 1.0), ("editor_list", "stored", 1.0),
+]
+#: Fields that are not taken apart, not stored, and not indexed.
+WHOLE = {"key", "doi", "isbn", "issn", "url"}
+NOT_STORED = {"content", "search_text"}
+NOT_INDEXED = {"author_list", "editor_list"}
+SEARCHABLE = {name for name, kind, _ in FIELDS if kind in ("text", "keyword")}
+FACETS = [name for name, kind, _ in FIELDS if kind == "keyword"]
+#: Field expansions with their boosts.
+FIELD_EXPANSION = {"title": {"title": 1.0, "abstract": 0.5}, "author": {"author": 1.0, "editor": 0.7}, "venue": {"journal": 1.0, "booktitle": 0.9, "publisher": 0.6}, "content": {"title": 1.0, "abstract": 0.8, "keywords": 0.6, "note": 0.4}}
 
 
 def analyzer_for(name: str) -> str:
@@ -133,6 +148,32 @@ def expand_text(text: str, table: dict[str, list[str]], most: int = 5) -> str:
     return " ".join(out)
 
 
+def configured(custom: dict[str, dict] | None = None) -> list[dict]:
+    """All fields of the index; settings of one's own change known fields or add new ones."""
+    table = {n: {"name": n, "kind": k, "boost": b, "indexed": n not in NOT_INDEXED, "stored": n not in NOT_STORED, "analyzed": n not in WHOLE, "analyzer": ANALYZERS.get(n)} for n, k, b in FIELDS}
+    for name, own in (custom or {}).items():
+        if own.get("kind", "text") not in ("text", "keyword", "numeric", "date", "stored"):
+            raise ValueError(f"no such kind of field: {own['kind']}")
+        table[name] = {"name": name, "kind": "text", "boost": 1.0, "indexed": True, "stored": True, "analyzed": True, "analyzer": None} | table.get(name, {}) | own
+    return list(table.values())
+
+
+def build_collection(name: str, description: str | None = None, entry_keys: list[str] | None = None, query: str | None = None, parent: str | None = None) -> dict:
+    """A collection that is either a list of keys, each once, or a query."""
+    if not (name or "").strip():
+        raise ValueError("a collection needs a name")
+    if entry_keys and query:
+        raise ValueError("a collection holds keys or a query, not both")
+    return {"coll_name": name.strip(), "description": description, "entry_keys": None if query else list(dict.fromkeys(entry_keys or [])), "coll_query": query, "parent_id": parent}
+
+
+def smart_collections(records: DataFrame, field: str) -> DataFrame:
+    """A collection by query for each value of a field, with the number of its records."""
+    return records.groupBy(field).agg(F.count(F.lit(1)).alias("n"), F.min("added").alias("created")).select(
+        F.concat(F.lit(f"{field}:"), F.col(field)).alias("coll_query"), F.concat(F.lit("All of "), F.col(field)).alias("coll_name"), "n", "created"
+    )
+
+
 def tree_rows(tree: dict, parent: str | None = None) -> list[tuple[str, str | None]]:
     """(name, parent) of a nested dict, parents before children."""
     out = []

@@ -148,3 +148,9 @@ def highlight(c: Column, words: list[str], tag: str = "mark") -> Column:
     for w in words:
         c = F.regexp_replace(c, "(?i)" + re.escape(w), f"<{tag}>{w}</{tag}>")
     return c
+
+
+def highlight_wildcards(c: Column, patterns: tuple[str, ...], tag: str = "mark") -> Column:
+    """Words that match a pattern of letters, ``*`` and ``?``, in tags; the first pattern that fits takes the word."""
+    form = "|".join("".join(r"\w*" if x == "*" else r"\w" if x == "?" else re.escape(x) for x in p) for p in patterns)
+    return F.regexp_replace(c, rf"(?i)\b({form})\b", f"<{tag}>$1</{tag}>")

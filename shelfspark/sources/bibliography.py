@@ -9,13 +9,14 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 RECORD = "key string, type string, fields map<string,string>, error string"
 #: Fixed tags of the RIS format.
 RIS_TAGS = {
     "TI": "title", "T1": "title", "JO": "journal", "JF": "journal", "T2": "booktitle", "PB": "publisher", "VL": "volume", "IS": "number", "PY": "year", "Y1": "year", "DO": "doi", "UR": "url", "AB": "abstract", "N2": "abstract", "SN": "serial", "SP": "start", "EP": "end", "CY": "address", "ET": "edition", "T3": "series",
+    "JA": "journal", "LA": "language", "BN": "isbn", "N1": "note", "M1": "note", "M3": "note",
 }
 RIS_PEOPLE = {"AU": "author", "A1": "author", "A2": "editor", "A3": "editor", "ED": "editor"}
 RIS_KINDS = {"JOUR": "article", "BOOK": "book", "CHAP": "incollection", "CONF": "inproceedings", "CPAPER": "inproceedings", "THES": "phdthesis", "RPRT": "techreport", "ELEC": "online", "DATA": "dataset", "UNPB": "unpublished"}
@@ -141,6 +142,25 @@ def read_json(spark: SparkSession, path) -> DataFrame:
     return each.select(F.col("fields")["key"].alias("key"), kind.alias("type"), "fields", F.when(F.col("fields")["key"].isNull(), "no key").alias("error"))
 
 
+def decoded(content: Column) -> Column:
+    """Text of bytes: UTF-8 where they are that, with or without a mark at the beginning, else Latin-1."""
+    text = content.cast("string")
+    return F.when(F.is_valid_utf8(text), F.regexp_replace(text, "^\ufeff", "")).otherwise(F.decode(content, "ISO-8859-1"))
+
+
+def definition(c: Column) -> Column:
+    """(name, value) of an ``@string`` definition."""
+    form = r"(?is)^\s*@string\s*[{(]\s*([\w-]+)\s*=\s*[\"{](.*)[\"}]\s*[})]\s*$"
+    return F.when(c.rlike(form), F.struct(F.regexp_extract(c, form, 1).alias("name"), F.regexp_extract(c, form, 2).alias("value")))
+
+
+def sniffed(name: Column, content: Column) -> Column:
+    """Format by extension, else by the first letters of the content."""
+    ext, head = F.lower(F.regexp_extract(name, r"\.(\w+)$", 1)), F.substring(content, 1, 1000)
+    by_name = F.try_element_at(F.create_map(*[F.lit(x) for x in ("bib", "bibtex", "ris", "ris", "json", "json", "csv", "csv")]), ext)
+    return F.coalesce(by_name, F.when(head.rlike(r"^\s*@\w+\s*\{"), "bibtex").when(head.rlike(r"^\s*TY\s{1,2}-"), "ris").when(head.rlike(r"^\s*[\[{]"), "json").otherwise("unknown"))
+
+
 def sniff(name: str, head: str) -> str:
     """Format by extension, else by the first letters of the content."""
     for ext, kind in ((".bib", "bibtex"), (".ris", "ris"), (".json", "json"), (".csv", "csv")):
@@ -175,6 +195,7 @@ def write_csv(df: DataFrame, path: str, fields: list[str], sep: str = ",", quote
 
 def verify_copy(source: DataFrame, target: DataFrame, key: str = "key") -> DataFrame:
     """(missing, extra, changed) counts between two stores, by one full join of row digests."""
-    digest = lambda df, n: df.select(key, F.xxhash64(*[F.col(c).cast("string") for c in sorted(df.columns) if not dict(df.dtypes)[c].startswith(("map", "array"))]).alias(n))
+    plain = lambda c, kind: F.array_sort(F.map_entries(c)).cast("string") if kind.startswith("map") else F.col(c).cast("string")
+    digest = lambda df, n: df.select(key, F.xxhash64(*[plain(c, dict(df.dtypes)[c]) for c in sorted(df.columns)]).alias(n))
     j = digest(source, "a").join(digest(target, "b"), key, "full")
     return j.agg(F.count_if(F.col("b").isNull()).alias("missing"), F.count_if(F.col("a").isNull()).alias("extra"), F.count_if(F.col("a") != F.col("b")).alias("changed"))

@@ -24,7 +24,7 @@ def keep_index(log: DataFrame, path: str, checkpoint: str):
 
     def upsert(batch: DataFrame, number: int) -> None:
         changed = batch.where("upper(event_type) like 'ENTRY_%' and entry_key is not null")
-        last = changed.groupBy(F.lower(F.trim("entry_key")).alias("entry_key")).agg(F.max_by(F.upper("event_type"), F.struct("event_ts", "event_id")).alias("change"), F.max("event_ts").alias("at"))
+        last = changed.groupBy(F.lower(F.trim("entry_key")).alias("entry_key")).agg(F.max(F.struct("event_ts", "event_id", F.upper("event_type").alias("change"))).alias("v")).select("entry_key", "v.change", F.col("v.event_ts").alias("at"), "v.event_id")
         last.write.mode("overwrite").parquet(f"{path}/batch={number}")
 
     return log.writeStream.foreachBatch(upsert).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
