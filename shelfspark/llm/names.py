@@ -2,19 +2,26 @@
 
 Method: noisy-channel attribution.  A spelling is parsed into family name, given name and
 initials, or, for an organisation, into kind, subjects and place.  Equal parses are one
-unit whose frequency is its prior.  For each unit the channel gives the likelihood that it
-is a distorted form of another unit nearby: a typo, an initial or a lost middle initial, a
-nickname, a swapped order, an acronym.  Candidate canonical forms are the fuller and, among
-equals, the more frequent spellings; each unit is attached to the candidate of maximum
+unit whose frequency is its prior.  The channel says by which distortions a unit may come from
+another one nearby: typos, an initial or a lost middle initial, a nickname, a swapped order, a
+short form, an acronym.  How likely each distortion is, is estimated from the column itself:
+attachments weighted by their posteriors give expected counts of distortions, these give new
+likelihoods, until they no longer change.  Each unit is attached to the candidate of maximum
 posterior, and what these attachments connect is one entity.
 
+Candidate canonical forms rank by frequency among forms equally full; a fuller form comes
+first, because an initial or a name without its middle initial fits several people and would
+join them.
+
 Given names are recognised, and their typos and nicknames put right, with a vocabulary
 learned from the whole column; a name enters it with a relative frequency of at least
 ``THETA``, so at most ``1/THETA`` names are broadcast.
 
-Scale: candidates meet by equi-join on deletion neighbourhoods of the family name with the
-initial of the given name, after equal parses are merged, so a name that holds a third of
-all rows is one unit.  Nothing is compared outside such a block.
+Scale: candidates meet by equi-join, after equal parses are merged, so a name that holds a
+third of all rows is one unit.  People meet on deletion neighbourhoods of the family name with
+the initial of the given name; organisations on those of the place together with their kind,
+the beginning of one subject and the first letters of the others, so the organisations of one
+place are not compared with each other all through.
 
 Defined results
 * null and blank names are linked to none; letter case, accents, order, titles and spacing do not matter
@@ -237,32 +244,33 @@ def parse(names: DataFrame, given: dict) -> DataFrame:
     return rows.where("s rlike '\\\\p{L}'").mapInPandas(scan, UNIT).where("family != ''")
 
 
-#: Log-likelihoods of the channel.
-TYPO, INITIAL, LOST_MIDDLE, SHORT_KIND, ACRONYM, SWAP = -4.0, -2.0, -1.0, -1.0, -3.0, -0.5
+#: Distortions and the likelihoods that their estimation begins with.
+START = {"typo": 0.02, "initial": 0.13, "middle": 0.37, "short": 0.37, "acronym": 0.05}
 
 
-def channel(x: tuple, c: tuple) -> float | None:
-    """Log-likelihood that unit ``x`` is a distorted form of ``c``; None where it can't be.  Units: (kind, family, given, initials, raw)."""
+def channel(x: tuple, c: tuple) -> dict | None:
+    """How often each distortion makes unit ``x`` of ``c``; None where it can't be.  Units: (kind, family, given, initials, raw)."""
     if x[0] != c[0]:
         return None
     away = near(x[1], c[1])
     if away > 1 or (away and min(len(x[1]), len(c[1])) < 5):
         return None
-    w = TYPO * away
+    n = dict.fromkeys(START, 0)
+    n["typo"] = away
     if x[0] == "o":
-        return _org_channel(x, c, w)
+        return _org_channel(x, c, n)
     gx, gc = x[2], c[2]
     if gx and gc:
         if gx != gc:
             close = min(near(a, b) for a in {gx, x[4]} for b in {gc, c[4]})
             if away or close > 1 or min(len(gx), len(gc)) < 3 or max(len(gx), len(gc)) < 4:
                 return None
-            w += TYPO
+            n["typo"] += 1
     elif gx or gc:
         full, short = (x, c) if gx else (c, x)
         if (away and len(short[1]) < 7) or not short[4] or short[4] not in (full[2][:1], full[4][:1]):
             return None
-        w += INITIAL
+        n["initial"] += 1
     else:
         if (away and len(x[1]) < 7) or x[4] != c[4]:
             return None
@@ -270,18 +278,18 @@ def channel(x: tuple, c: tuple) -> float | None:
     if mx != mc:
         if mx and mc and not (mx.startswith(mc) or mc.startswith(mx)):
             return None
-        w += LOST_MIDDLE
-    return w
+        n["middle"] += 1
+    return n
 
 
-def _org_channel(x: tuple, c: tuple, w: float) -> float | None:
+def _org_channel(x: tuple, c: tuple, n: dict) -> dict | None:
     """Organisations: the kind and each subject must agree, be a short form, or be a typo; an acronym must spell them."""
     if x[4] or c[4]:
         if x[4] and c[4]:
-            return w if sorted(x[4]) == sorted(c[4]) else None
+            return n if sorted(x[4]) == sorted(c[4]) else None
         full, acronym = (c, x[4]) if x[4] else (x, c[4])
-        letters = sorted([full[3][:1], *(s[:1] for s in full[2].split())])
-        return w + ACRONYM if sorted(acronym) == letters or sorted(acronym) == letters[1:] or set(acronym) == set(letters) else None
+        n["acronym"] += 1
+        return n if {"".join(sorted(set(acronym)))} & spelled(full[3], full[2]) else None
     if x[3] and c[3] and x[3] != c[3]:
         return None
     a, b = x[2].split(), c[2].split()
@@ -293,30 +301,77 @@ def _org_channel(x: tuple, c: tuple, w: float) -> float | None:
         if hit is None:
             return None
         left.remove(hit)
-        w += 0.0 if hit == s else SHORT_KIND if hit.startswith(s) or s.startswith(hit) else TYPO
-    return w
+        if hit != s:
+            n["short" if hit.startswith(s) or s.startswith(hit) else "typo"] += 1
+    return n
+
+
+def spelled(kind: str, subjects: str) -> set[str]:
+    """The letters an acronym of an organisation may have: with the kind, or without it."""
+    letters = sorted([kind[:1], *(s[:1] for s in subjects.split())])
+    return {"".join(sorted(set(letters))), "".join(sorted(set(letters[1:])))}
+
+
+def _org_blocks(place: str, kind: str, subjects: str, acronym: str) -> set[str]:
+    """What an organisation has in common with each spelling of it, short of typos in the first letters of two subjects."""
+    if acronym:
+        return {"a" + "".join(sorted(set(acronym)))}
+    words = subjects.split()
+    out = {"a" + x for x in spelled(kind, subjects)}
+    if not words:
+        return out | {"k" + kind, "n"}
+    for k, w in enumerate(words):
+        others = "".join(sorted(x[:1] for j, x in enumerate(words) if j != k))
+        for begin in {w[:2], w[:1] + w[2:3], w[1:3]}:  # one edit in the first letters leaves one of these
+            out.update({f"k{kind}|{begin}|{others}", f"n|{begin}|{others}"})
+    return out
 
 
 def _keys(batches):
+    """(unit, block, complete): units of a block meet, but not two complete ones: those with a kind, in a block without it, and whole names, in a block of acronyms."""
     import pandas as pd
 
     for pdf in batches:
         out = []
-        for k in range(len(pdf)):
-            u, kind, family, given, raw = (pdf[c].iat[k] for c in ("unit", "kind", "family", "given", "raw"))
-            firsts = {""} if kind == "o" else {given[:1], raw[:1]} - {""} or {""}
-            for d in deletions(family) if len(family) >= 5 else [family]:
-                out.extend((u, f"{kind}{f}|{d}") for f in firsts)
-            if kind == "p" and len(given) >= 3:
-                out.extend((u, f"g{family}|{d}") for d in {*deletions(given), *deletions(raw)})
-        yield pd.DataFrame(out, columns=["unit", "block"]).astype({"unit": "int64"})
+        for u, kind, family, given, initials, raw in zip(*(pdf[c].tolist() for c in ("unit", "kind", "family", "given", "initials", "raw"))):
+            near_by = deletions(family) if len(family) >= 5 else [family]
+            if kind == "o":
+                found = _org_blocks(family, initials, given, raw)
+                out.extend((u, f"o{d}|{x}", initials != "" if x[0] == "n" else x[0] == "a" and raw == "") for d in near_by for x in found)
+                continue
+            out.extend((u, f"p{f}|{d}", False) for d in near_by for f in {given[:1], raw[:1]} - {""} or {""})
+            if len(given) >= 3:
+                out.extend((u, f"g{family}|{d}", False) for d in {*deletions(given), *deletions(raw)})
+        yield pd.DataFrame(out, columns=["unit", "block", "complete"]).astype({"unit": "int64", "complete": "bool"})
+
+
+def likelihoods(scored: DataFrame, rounds: int = 8, tolerance: float = 0.01) -> dict[str, float]:
+    """Likelihood of each distortion: its expected number in an attachment, each weighted by its posterior."""
+    p = dict(START)
+    for _ in range(rounds):
+        w = scored.where("up").withColumn("p", F.exp(weight(p)))
+        z = w.groupBy("x").agg(F.sum("p").alias("z"), *[F.sum(F.col("p") * F.col(k)).alias(k) for k in p])
+        got = z.agg(F.count(F.lit(1)).alias("n"), *[F.sum(F.col(k) / F.col("z")).alias(k) for k in p]).first()
+        new = {k: min(0.5, max(1e-4, ((got[k] or 0.0) + START[k]) / (got["n"] + 1))) for k in p}
+        done = all(abs(new[k] - p[k]) <= tolerance * p[k] for k in p)
+        p = new
+        if done:
+            break
+    return p
+
+
+def weight(p: dict[str, float]):
+    """Log of prior and likelihood of a candidate."""
+    import math
+
+    return F.log(F.col("n").cast("double")) + sum((F.col(k) * math.log(p[k]) for k in p), F.lit(0.0))
 
 
 def attach(units: DataFrame) -> DataFrame:
     """(unit, target, posterior): the maximum-posterior canonical form of each unit that has one, and its twins."""
-    keyed = units.mapInPandas(_keys, "unit bigint, block string")
-    side = lambda p: keyed.select("block", F.col("unit").alias(p))
-    pairs = side("x").join(side("c"), "block").where("x != c").select("x", "c").distinct()
+    keyed = units.mapInPandas(_keys, "unit bigint, block string, complete boolean")
+    side = lambda p: keyed.select("block", F.col("unit").alias(p), F.col("complete").alias("k" + p))
+    pairs = side("x").join(side("c"), "block").where("x != c and not (kx and kc)").select("x", "c").distinct()
     cols = ["unit", "kind", "family", "given", "initials", "raw", "n"]
     # fuller spellings first, then the more frequent: only these can be canonical for a unit
     rank = F.struct(
@@ -329,8 +384,6 @@ def attach(units: DataFrame) -> DataFrame:
     both = pairs.join(px, "x").join(pc, "c").select("x", "c", "fx", "fc", (F.col("rc") > F.col("rx")).alias("up"))
 
     def score(batches):
-        import math
-
         import pandas as pd
 
         for pdf in batches:
@@ -341,12 +394,13 @@ def attach(units: DataFrame) -> DataFrame:
                 if not up and not twin and (fx["family"] == fc["family"] or fc["n"] < fx["n"]):
                     continue
                 tx, tc = (tuple(f[k] for k in ("kind", "family", "given", "initials", "raw")) for f in (fx, fc))
-                w = channel(tx, tc)
-                if w is not None:
-                    out.append((x, c, bool(up), twin and bool(up), w + math.log(fc["n"])))
-            yield pd.DataFrame(out, columns=["x", "c", "up", "twin", "w"]).astype({"x": "int64", "c": "int64", "up": "bool", "twin": "bool", "w": "float64"})
+                made = channel(tx, tc)
+                if made is not None:
+                    out.append((x, c, bool(up), twin and bool(up), fc["n"], *made.values()))
+            yield pd.DataFrame(out, columns=["x", "c", "up", "twin", "n", *START]).astype({"x": "int64", "c": "int64", "up": "bool", "twin": "bool", "n": "int64", **dict.fromkeys(START, "int32")})
 
-    scored = cut(both.mapInPandas(score, "x bigint, c bigint, up boolean, twin boolean, w double"))
+    scored = cut(both.mapInPandas(score, "x bigint, c bigint, up boolean, twin boolean, n bigint, " + ", ".join(f"{k} int" for k in START)))
+    scored = scored.withColumn("w", weight(likelihoods(scored)))
     # a fuller form comes first; a typo in the family name may also be told by a plainer form that is as frequent
     top = scored.groupBy("x").agg(F.max(F.struct("up", "w", (-F.col("c")).alias("m"))).alias("b"), F.sum(F.when(F.col("up"), F.exp("w"))).alias("zu"), F.sum(F.exp("w")).alias("z"))
     best = top.select(F.col("x").alias("unit"), (-F.col("b.m")).alias("target"), (F.exp("b.w") / F.when(F.col("b.up"), F.col("zu")).otherwise(F.col("z"))).alias("posterior"))
