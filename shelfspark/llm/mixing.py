@@ -25,6 +25,8 @@ Defined results
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -33,9 +35,24 @@ from ..plans import cut
 SALTS = 16  # at least; with more than ROWS_A_SALT documents a salt, more
 ROWS_A_SALT = 500_000
 CLASSES = 8  # size classes for each doubling of the length
+#: How text is cut before the vocabulary applies.
+PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"
+BEFORE_BLANK = re.compile(r"\S(?=\s)")
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 
 
+def slices(text: str, size: int = 200_000):
+    """Pieces of about ``size`` letters, cut only before blanks, where the pre-tokeniser always cuts: counts are those of the whole text."""
+    a = 0
+    while len(text) - a > size:
+        m = BEFORE_BLANK.search(text, a + size - 1)
+        if not m:
+            break
+        yield text[a : m.end()]
+        a = m.end()
+    yield text[a:]
+
+
 def count_tokens(docs: DataFrame, text: str = "text", tokenizer: str = TOKENIZER) -> DataFrame:
     """``docs`` with the text replaced by ``n_tokens``, counted over whole texts."""
     keep = [c for c in docs.columns if c != text]
@@ -49,11 +66,10 @@ def count_tokens(docs: DataFrame, text: str = "text", tokenizer: str = TOKENIZER
 
         with open(tokenizer, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        pattern = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"
-        enc = tiktoken.Encoding("mixing", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+        enc = tiktoken.Encoding("mixing", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
         for pdf in batches:
             out = pdf[keep].copy()
-            out["n_tokens"] = [sum(len(enc.encode_ordinary(t[a : a + 200_000])) for a in range(0, len(t), 200_000)) for t in pdf[text]]
+            out["n_tokens"] = [sum(len(enc.encode_ordinary(x)) for x in slices(t)) for t in pdf[text]]
             yield out
 
     return docs.mapInPandas(scan, schema)
@@ -149,7 +165,8 @@ def _draw(rows: DataFrame, salts: int, seed: int) -> DataFrame:
     start = mass.select("source", "bucket", before.alias("start"))
     inside = F.sum("part").over(Window.partitionBy("source", "bucket").orderBy("n_tokens", "h", "doc_id").rowsBetween(Window.unboundedPreceding, Window.currentRow))
     y = x.withColumn("to", inside).join(start, ["source", "bucket"])
-    hi = F.col("start") + F.col("to") + 0.5
+    begin = F.pmod(F.xxhash64("source", F.lit(seed)), F.lit(1_000_000)) / 1_000_000  # where the steps of a source begin
+    hi = F.col("start") + F.col("to") + begin
     lo = hi - F.col("part")
     drawn = (F.floor(hi) - F.floor(lo)).cast("bigint")
     return y.select("doc_id", "source", "lang", "topic", "n_tokens", (F.col("whole") + drawn).cast("bigint").alias("uses")).where("uses > 0")

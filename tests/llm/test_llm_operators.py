@@ -308,6 +308,23 @@ def test_mixture(spark):
     assert mix(spark, [], [("big", 1.0, 1)])[0] == []
 
 
+def test_counts_do_not_depend_on_slices():
+    import base64
+
+    import tiktoken
+
+    with open(mixing.TOKENIZER, "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    enc = tiktoken.Encoding("t", pat_str=mixing.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    rnd = random.Random(8)
+    text = "".join(rnd.choice(["word", " it's", "  two", "\n\n", " 12", "\t", "... ", "é", "   ", "x" * 30]) for _ in range(4000))
+    whole = len(enc.encode_ordinary(text))
+    for size in (1, 7, 50, 999, 10**6):
+        got = list(mixing.slices(text, size))
+        assert "".join(got) == text and sum(len(enc.encode_ordinary(x)) for x in got) == whole
+    assert list(mixing.slices("", 5)) == [""]
+
+
 def test_rake_meets_margins():
     cells = [("a", "en", "x", 100), ("a", "de", "x", 50), ("b", "en", "y", 400), ("b", "de", "x", 30)]
     uses = mixing.rake(cells, {"a": 0.5, "b": 0.5}, {"a": 2, "b": 1}, 200)
