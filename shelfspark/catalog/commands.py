@@ -12,6 +12,7 @@ from ..operators import engine as E
 from ..operators import quality as Q
 from ..operators import search as S
 from ..operators import stores as O
+from ..operators.index import Index
 from ..operators.windows import global_rank
 from ..plans.session import stage_dir
 from ..sources import bibliography as B
@@ -22,7 +23,7 @@ from .records import by_key, collections, records
 from .registry import Catalog
 from .rest import _listed
 from .rest import SQL as _REST
-from .search import _POST, TOK
+from .search import _POST, RK, TOK, _has, _score
 
 C = Catalog()
 QUERIES, SQL = C.QUERIES, C.SQL
@@ -283,3 +284,33 @@ def _spelling(s, d):
 add("str13_spell_check", _spelling)  # no SQL: levenshtein counts bytes there
 _WILD = ("archiv*", "te?t*", "*graph*")
 add("hl05_wildcards", lambda s, d: records(s, d).select("row_id", S.highlight_wildcards(F.col("title"), _WILD).alias("title")), R + r"SELECT row_id, regexp_replace(title, '(?i)\b(archiv\w*|te\wt\w*|\w*graph\w*)\b', '<mark>\1</mark>', 'g') AS title FROM r")
+
+
+# the kept index
+def _kept(s, d):
+    """An index of the older records, kept up with the newer ones, with changed books, and with papers that came and went."""
+    r = records(s, d)
+    index = Index(s, _place(s, "index")).update(r.where("year < 2015 or year is null").withColumn("title", F.when(F.col("type") == "book", F.lit("archives archives")).otherwise(F.col("title"))))
+    index = index.update(r.where("year >= 2015 or type = 'book'"))
+    return index.update(None, r.where("type = 'misc'"))
+
+
+_SEEK = {"srch50_kept_index": ("archives OR kriging", "({a} OR {k})", "CASE WHEN {a} THEN {sa} ELSE 0.0 END + CASE WHEN {k} THEN {sk} ELSE 0.0 END"), "srch51_kept_and": ("kriging NOT future", "{k} AND NOT {f}", "{sk}")}
+for _name, (_text, _hit, _sum) in _SEEK.items():
+    _parts = {"a": _has("archives"), "k": _has("kriging"), "f": _has("future"), "sa": _score("archives"), "sk": _score("kriging")}
+    add(_name, lambda s, d, t=_text: _kept(s, d).search(t).select("row_id", F.round("score", 6).alias("score")), RK + f"SELECT row_id, round({_sum.format(**_parts)}, 6) AS score FROM rk WHERE type <> 'misc' AND {_hit.format(**_parts)}")
+add("srch52_index_terms", lambda s, d: _kept(s, d).terms(["otter", "comet"]).groupBy("term", "field").agg(F.countDistinct("row_id").alias("docs"), F.sum("tf").alias("tf")), _POST + "SELECT term, field, count(DISTINCT row_id) AS docs, CAST(sum(tf) AS BIGINT) AS tf FROM post WHERE term IN ('otter', 'comet') AND row_id IN (SELECT row_id FROM r WHERE type <> 'misc') GROUP BY ALL")
+_BOOST = "CASE field " + " ".join(f"WHEN '{f}' THEN {b}" for f, b in S.BOOSTS.items()) + " ELSE 0.8 END"
+add("srch36_similar", lambda s, d: S.similar(S.postings(S.searchable(records(s, d))), records(s, d).where("row_id = 100")), _POST.rstrip() + f", own AS (SELECT DISTINCT unnest({TOK("concat_ws(' ', title, substr(abstract, 1, 200), array_to_string(keywords, ' '))")}) AS term FROM r WHERE row_id = 100) SELECT row_id, score FROM (SELECT row_id, round(sum({_BOOST} * tf / (tf + 1.2 * (0.25 + 0.75 * len / 100.0))), 6) AS score FROM post JOIN own USING (term) WHERE row_id <> 100 GROUP BY 1) WHERE score >= 0.7 ORDER BY score DESC, row_id LIMIT 25")
+for _name, _words, _most, _long in (("win09_clusters", ["otter", "comet", "kriging"], 60, False), ("win10_windows", ["future", "otter"], 100, True)):
+    add(_name, lambda s, d, w=_words, m=_most, b=_long: records(s, d).where("abstract is not null").select("row_id", _clusters(w, m, b)(F.col("abstract")).alias("x")).select("row_id", "x.*"))
+
+
+def _clusters(words, most, by_length):
+    from ..functions import udfs
+
+    return udfs.clusters(words, (), most, by_length)
+
+
+_KEYS = ("name", "kind", "boost", "indexed", "stored", "analyzed", "analyzer")
+add("str11_fields", lambda s, d: s.createDataFrame([tuple(f[k] for k in _KEYS) for f in E.configured()], "name string, kind string, boost double, indexed boolean, stored boolean, analyzed boolean, analyzer string"))

@@ -100,8 +100,6 @@ def _u():
 for _name, _words, _phrases, _most in (("hl03_terms", ["otter"], (), None), ("hl04_phrases", [], ("drawn from",), None), ("hl06_merged", ["otter", "otters"], ("otter",), None), ("hl07_snippet", ["otter"], (), 80), ("hl09_best", ["otter", "comet"], (), 120)):
     add(_name, lambda s, d, w=_words, p=_phrases, m=_most: records(s, d).where("abstract is not null").select("row_id", _u().marked(w, p, m)(F.col("abstract")).alias("value")))
 add("hl08_tags", lambda s, d: records(s, d).select("row_id", S.highlight(F.col("title"), ["the"], "em").alias("title")), R + "SELECT row_id, regexp_replace(title, '(?i)the', '<em>the</em>', 'g') AS title FROM r")
-add("win09_clusters", lambda s, d: records(s, d).where("abstract is not null").select("row_id", _u().marked(["otter", "comet", "kriging"], (), 60)(F.col("abstract")).alias("value")))
-add("win10_windows", lambda s, d: records(s, d).where("abstract is not null").select("row_id", F.length(_u().marked(["future"], (), 100)(F.col("abstract"))).alias("value")))
 
 # duplicates and policies
 add("ddp03_tolerance", lambda s, d: _tolerant(s, d), _TAY + "SELECT min(row_id) AS first, count(*) AS n FROM (SELECT *, sum(CASE WHEN gap THEN 1 ELSE 0 END) OVER (PARTITION BY g ORDER BY year, row_id) AS island FROM (SELECT r.row_id, r.year, regexp_replace(tay_key, '[|][^|]*$', '') AS g, r.year - lag(r.year) OVER (PARTITION BY regexp_replace(tay_key, '[|][^|]*$', '') ORDER BY r.year, r.row_id) > 1 AS gap FROM dk JOIN r USING (row_id) WHERE r.year IS NOT NULL)) GROUP BY g, island HAVING count(*) > 1")

@@ -121,6 +121,11 @@ def recase(mode: str):
 
     return run
 
+#: Endings of the published Porter stemmer.
+STEP2 = {"ational": "ate", "tional": "tion", "enci": "ence", "anci": "ance", "izer": "ize", "abli": "able", "alli": "al", "entli": "ent", "eli": "e", "ousli": "ous", "ization": "ize", "ation": "ate", "ator": "ate", "alism": "al", "iveness": "ive", "fulness": "ful", "ousness": "ous", "aliti": "al", "iviti": "ive", "biliti": "ble"}
+STEP3 = {"icate": "ic", "ative": "", "alize": "al", "iciti": "ic", "ical": "ic", "ful": "", "ness": ""}
+STEP4 = ("al", "ance", "ence", "er", "ic", "able", "ible", "ant", "ement", "ment", "ent", "ion", "ou", "ism", "ate", "iti", "ous", "ive", "ize")
+
 
 def porter(w: str) -> str:
     """The stemmer published by M. F. Porter, 1980."""
@@ -155,15 +160,12 @@ def porter(w: str) -> str:
             w += "e"
     if w.endswith("y") and has(w[:-1]):
         w = w[:-1] + "i"
-    step2 = "ational:ate tional:tion enci:ence anci:ance izer:ize abli:able alli:al entli:ent eli:e ousli:ous ization:ize ation:ate ator:ate alism:al iveness:ive fulness:ful ousness:ous aliti:al iviti:ive biliti:ble"
-    step3 = "icate:ic ative: alize:al iciti:ic ical:ic ful: ness:"
-    for table in (step2, step3):
-        for rule in sorted(table.split(), key=lambda r: -len(r.split(":")[0])):
-            a, b = rule.split(":")
+    for table in (STEP2, STEP3):
+        for a, b in sorted(table.items(), key=lambda r: -len(r[0])):
             if w.endswith(a):
                 w = w[: -len(a)] + b if m(w[: -len(a)]) > 0 else w
                 break
-    for a in sorted("al ance ence er ic able ible ant ement ment ent ion ou ism ate iti ous ive ize".split(), key=lambda x: -len(x)):
+    for a in sorted(STEP4, key=lambda x: -len(x)):
         if w.endswith(a):
             s = w[: -len(a)]
             if m(s) > 1 and (a != "ion" or s[-1:] in "st"):
@@ -231,3 +233,39 @@ def marked(words: list[str], phrases: tuple[str, ...] = (), most: int | None = 2
         return s.map(one)
 
     return run
+
+
+def cluster(found: list[tuple[int, int, float]], most: int) -> tuple[int, int, float] | None:
+    """(from, to, score) of the highlights that lie within ``most`` letters and score most together; the first of equals."""
+    best, lo, total = None, 0, 0.0
+    found = [f for f in sorted(found) if f[1] - f[0] <= most]
+    for a, b, s in found:
+        total += s
+        while b - found[lo][0] > most:
+            total -= found[lo][2]
+            lo += 1
+        if best is None or total > best[2] + 1e-9:
+            best = (found[lo][0], b, total)
+    return best
+
+
+def window(places: list[tuple[int, int]], most: int) -> tuple[int, int, float] | None:
+    """(from, to, score) of the term places within ``most`` letters whose number and length count most: 1 a place and 0.1 a letter."""
+    return cluster([(a, a + n, 1.0 + 0.1 * n) for a, n in places], most)
+
+
+SPAN = "start int, stop int, score double"
+
+
+def clusters(words: list[str], phrases: tuple[str, ...] = (), most: int = 200, by_length: bool = False):
+    """The best cluster of highlights of a text, or the best window of term places."""
+
+    @F.pandas_udf(SPAN)
+    def run(s: pd.Series) -> pd.DataFrame:
+        out = []
+        for x in s:
+            found = spans(x, words, phrases) if isinstance(x, str) else []
+            out.append((window([(a, b - a) for a, b, _ in found], most) if by_length else cluster(found, most)) or (None, None, None))
+        return pd.DataFrame(out, columns=["start", "stop", "score"]).astype({"start": "Int32", "stop": "Int32", "score": "float64"})
+
+    return run

@@ -17,7 +17,10 @@ REQUIRED = {
     "dataset": ("author", "title", "publisher|howpublished", "year"),
 }
 #: Fixed month vocabulary.
-MONTHS = "jan feb mar apr may jun jul aug sep oct nov dec 1 2 3 4 5 6 7 8 9 10 11 12 january february march april june july august september october november december".split()
+MONTHS = (
+    "jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec", "1", "2", "3", "4", "5", "6", "7", "8", "9", "10", "11", "12",
+    "january", "february", "march", "april", "june", "july", "august", "september", "october", "november", "december",
+)
 #: Fixed page forms.
 PAGE_FORMS = r"^(\d+|\d+--?\d+|[A-Z]\d+--?[A-Z]\d+|\d+(,\s*\d+)+|\d+--?\d+(,\s*\d+--?\d+)*)$"
 KEY_FORM = r"^[a-zA-Z0-9][a-zA-Z0-9_\-:]*$"

@@ -154,3 +154,13 @@ def highlight_wildcards(c: Column, patterns: tuple[str, ...], tag: str = "mark")
     """Words that match a pattern of letters, ``*`` and ``?``, in tags; the first pattern that fits takes the word."""
     form = "|".join("".join(r"\w*" if x == "*" else r"\w" if x == "?" else re.escape(x) for x in p) for p in patterns)
     return F.regexp_replace(c, rf"(?i)\b({form})\b", f"<{tag}>$1</{tag}>")
+
+
+def similar(post: DataFrame, record: DataFrame, limit: int = 25, least: float = 0.7) -> DataFrame:
+    """Other records by the words of one record's title, the first 200 letters of its abstract, and its keywords; the score is cut before the limit."""
+    text = F.concat_ws(" ", "title", F.substring("abstract", 1, 200), F.array_join("keywords", " "))
+    words = record.select("row_id", F.explode(F.array_distinct(T.tokens(text))).alias("term"))
+    boost = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in BOOSTS.items() for x in kv]), F.col("field")), F.lit(0.8))
+    one = boost * F.col("tf") / (F.col("tf") + 1.2 * (0.25 + 0.75 * F.col("len") / 100.0))
+    hits = post.join(words.withColumnRenamed("row_id", "own"), "term").where("row_id != own").groupBy("row_id").agg(F.round(F.sum(one), 6).alias("score"))
+    return hits.where(F.col("score") >= least).orderBy(F.desc("score"), "row_id").limit(limit)
