@@ -75,7 +75,7 @@ def rules(columns: set[str], ref_year: int) -> list[Column]:
         out.append(F.when(F.col("type").isin(types) & ~present, issue(spec, "required", "error")))
     year, pages, doi, url = F.col("year"), filled(F.col("pages")), filled(F.col("doi")), filled(F.col("url"))
     out += [F.when(year < 1000, issue("year", "far past", "warning")), F.when(year > ref_year + 5, issue("year", "far future", "warning"))]
-    out += [F.when(~F.lower(filled(F.col("month"))).isin(MONTHS), issue("month", "format", "warning"))]
+    out += [F.when(~F.lower(filled(F.col("month"))).isin(*MONTHS), issue("month", "format", "warning"))]
     out += [F.when(~pages.rlike(PAGE_FORMS), issue("pages", "format", "warning")), F.when(pages.rlike(PAGE_FORMS) & pages.contains("-") & ~pages.contains("--"), issue("pages", "single dash", "info"))]
     bare = F.regexp_replace(F.regexp_replace(F.regexp_replace(doi, "^https://doi\\.org/", ""), "^http://doi\\.org/", ""), "^doi:", "")
     out += [F.when(~bare.rlike(DOI_FORM), issue("doi", "format", "warning"))]
