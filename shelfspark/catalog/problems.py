@@ -20,11 +20,13 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p3_paths(spark: SparkSession, d: str) -> DataFrame:
-    return _tree(spark, d).where("depth >= 0").select("id", "root_id", "depth", F.array_join("path", " > ").alias("path"))
+    """Every collection; the path in and below a loop begins with the whole loop."""
+    return _tree(spark, d).select("id", "root_id", "depth", "in_loop", F.array_join("path", " > ").alias("path"))
 
 
 def p3_descendants(spark: SparkSession, d: str) -> DataFrame:
-    return descendants(_tree(spark, d).where("depth >= 0"))
+    """Every collection under each of its ancestors; in a loop each member is under each other."""
+    return descendants(_tree(spark, d))
 
 
 def p3_loops(spark: SparkSession, d: str) -> DataFrame:
@@ -33,16 +35,6 @@ def p3_loops(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-def p3_all_paths(spark: SparkSession, d: str) -> DataFrame:
-    """``p3_paths`` for every collection, those in loops and below them included."""
-    return _tree(spark, d).select("id", "root_id", "depth", "in_loop", F.array_join("path", " > ").alias("path"))
-
-
-def p3_all_descendants(spark: SparkSession, d: str) -> DataFrame:
-    """``p3_descendants`` for every collection; in a loop each member is under each other."""
-    return descendants(_tree(spark, d))
-
-
 def p3_loop_members(spark: SparkSession, d: str) -> DataFrame:
     """The collections ``p3_loops`` counts, by name."""
     return _tree(spark, d, False).where("depth < 0").select("root_id", "id", "in_loop")
@@ -77,7 +69,7 @@ def p7_frequencies(spark: SparkSession, d: str) -> DataFrame:
     return p7_found(spark, d).groupBy("field", "val").agg(F.count(F.lit(1)).alias("n_values"), F.countDistinct("import_id").alias("n_rows"))
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_paths, p3_descendants, p3_loops, p3_all_paths, p3_all_descendants, p3_loop_members, p6_found, p6_report, p7_found, p7_frequencies)}
+QUERIES = {f.__name__: f for f in (p3_found, p3_paths, p3_descendants, p3_loops, p3_loop_members, p6_found, p6_report, p7_found, p7_frequencies)}
 
 _CLEAN = r"regexp_replace(regexp_replace(lower(regexp_replace({c}, '^[\s{{(]+|[\s}})]+$', '', 'g')), '^(urn:uuid:|collection:)[\s{{(]*', ''), '^([0-9a-f]{{8}})([0-9a-f]{{4}})([0-9a-f]{{4}})([0-9a-f]{{4}})([0-9a-f]{{12}})$', '\1-\2-\3-\4-\5')"
 
@@ -133,11 +125,9 @@ found AS (
 
 SQL = {
     "p3_found": _TREE + "SELECT id, root_id, depth FROM tree UNION ALL SELECT l.id, low.root_id, CAST(-1 AS BIGINT) FROM looped l JOIN low ON l.cid = low.cid",
-    "p3_paths": _TREE + "SELECT id, root_id, depth, path FROM tree",
-    "p3_descendants": _TREE + "SELECT a AS ancestor_id, id AS descendant_id, CAST(depth + 1 - k AS BIGINT) AS distance FROM (SELECT id, depth, unnest(path_ids[1:-2]) AS a, unnest(range(1, len(path_ids))) AS k FROM tree)",
     "p3_loops": _TREE + "SELECT low.root_id, count(r.cid) AS n_members, count(*) - count(r.cid) AS n_below FROM looped l JOIN low ON l.cid = low.cid LEFT JOIN ringed r ON r.cid = l.cid GROUP BY 1",
-    "p3_all_paths": _ALL + "SELECT id, root_id, depth, in_loop, path FROM every",
-    "p3_all_descendants": _ALL + "SELECT a AS ancestor_id, id AS descendant_id, CAST(n - k AS BIGINT) AS distance FROM (SELECT id, len(path_ids) AS n, unnest(path_ids[1:-2]) AS a, unnest(range(1, len(path_ids))) AS k FROM every)",
+    "p3_paths": _ALL + "SELECT id, root_id, depth, in_loop, path FROM every",
+    "p3_descendants": _ALL + "SELECT a AS ancestor_id, id AS descendant_id, CAST(n - k AS BIGINT) AS distance FROM (SELECT id, len(path_ids) AS n, unnest(path_ids[1:-2]) AS a, unnest(range(1, len(path_ids))) AS k FROM every)",
     "p3_loop_members": _ALL + "SELECT root_id, id, in_loop FROM every WHERE depth < 0",
     "p6_found": _REFS + "SELECT * FROM found WHERE kind IS NOT NULL",
     "p6_report": _REFS + "SELECT src, period, kind, count(*) AS n_refs, count(DISTINCT entry_key) AS n_keys FROM found WHERE kind IS NOT NULL GROUP BY ALL",

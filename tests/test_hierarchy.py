@@ -117,6 +117,6 @@ def test_every_collection_has_a_path(spark, data):
     from shelfspark.catalog import problems
 
     ids = {r.id for r in problems.p3_found(spark, data).collect()}
-    assert {r.id for r in problems.p3_all_paths(spark, data).collect()} == ids
+    assert {r.id for r in problems.p3_paths(spark, data).collect()} == ids
     looped = {r.id for r in problems.p3_found(spark, data).where("depth < 0").collect()}
     assert {r.id for r in problems.p3_loop_members(spark, data).collect()} == looped
