@@ -41,7 +41,7 @@ NODE = "node bigint, cid bigint, s0 bigint, s1 bigint"
 
 def words(*columns: str) -> Column:
     text = F.lower(F.concat_ws(" ", *[F.col(c).cast("string") for c in columns]))
-    return F.filter(F.split(F.regexp_replace(text, PUNCTUATION, " "), " "), lambda w: w != "")
+    return F.array_remove(F.split(F.regexp_replace(text, PUNCTUATION, " "), " "), "")
 
 
 def _mix(x):
@@ -186,11 +186,13 @@ def classes(df: DataFrame, id: str, columns: tuple[str, ...], record: Column | N
     """
     w = words(*columns)
     rows = df.select(F.col(id).cast("bigint").alias("row_id"), w.alias("w"), (F.xxhash64(record) if record is not None else F.lit(0).cast("bigint")).alias("p4")).where(F.size("w") > 0)
-    rows = rows.withColumn("bag", F.md5(F.array_join(F.array_sort("w"), " ")))
-    reps = rows.select("bag", F.struct("row_id", F.transform("w", lambda x: F.xxhash64(x)).alias("ws")).alias("r")).groupBy("bag").agg(F.min_by("r", "r.row_id").alias("r"))
-    sets = cut(reps.select(F.col("r.row_id").alias("cid"), "r.ws").mapInPandas(_bag, "cid bigint, elems array<bigint>, tokens array<int>, s0 bigint, s1 bigint"))
-    cid = rows.groupBy("bag").agg(F.min("row_id").alias("cid"))
-    member = cut(rows.select("row_id", "bag", "p4", F.xxhash64(F.array_join("w", " ")).alias("word_order")).join(cid, "bag").select("row_id", "cid", "p4", "word_order"))
+    small = cut(rows.select("row_id", "p4", F.md5(F.array_join(F.sort_array("w"), " ")).alias("bag"), F.xxhash64("w").alias("word_order")))
+    cid = small.groupBy("bag").agg(F.min("row_id").alias("cid"))
+    member = cut(small.join(cid, "bag").select("row_id", "cid", "p4", "word_order"))
+    discard(small)
+    # words are carried only for the first record of each bag
+    first = rows.select(F.col("row_id").alias("cid"), F.transform("w", lambda x: F.xxhash64(x)).alias("ws")).join(member.where("row_id = cid").select("cid"), "cid", "left_semi")
+    sets = cut(first.mapInPandas(_bag, "cid bigint, elems array<bigint>, tokens array<int>, s0 bigint, s1 bigint"))
     return member, sets
 
 
