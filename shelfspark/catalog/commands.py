@@ -220,17 +220,31 @@ def _ruled(s, d):
 _CASE = "CASE WHEN confidence >= 0.95 THEN 'merge' WHEN n >= 3 AND confidence >= 0.8 THEN 'ask' WHEN confidence >= 0.85 THEN 'tag' ELSE 'none' END"
 add("ddp10_rules", _ruled, _TAY + f"SELECT first, n, confidence, {_CASE} AS action FROM grp")
 
+_BACK = [n for n in X.FIELDS if n != "month"]
+
+
+def _closed(n):
+    """The braces of a value fold away, nine levels deep."""
+    x = f"regexp_replace(coalesce({_f(n)}, ''), '[^{{}}]', '', 'g')"
+    for _ in range(9):
+        x = f"replace({x}, '{{}}', '')"
+    return f"{x} = ''"
+
+
+_CLOSED = " AND ".join(map(_closed, _BACK))
+
+
 # workflows
 def _imported(s, d):
     path = _place(s, "import")
-    B.write_text(by_key(s, d), X.bibtex(), path)
+    B.write_text(by_key(s, d).where(B.closes_braces(_BACK)), X.bibtex(), path)  # the format cannot hold other values
     got = B.read_bibtex(s, path).select("key", "type", F.col("fields")["title"].alias("title"), F.col("fields")["year"].try_cast("int").alias("year"))
     ok = (F.coalesce(F.col("title"), F.lit("")) != "") & (F.coalesce(F.col("year"), F.lit(0)) > 0)
     there = by_key(s, d).where("type = 'book'").select(F.trim("key").alias("key")).distinct().withColumn("there", F.lit(True))
     return got.join(there, "key", "left").select("key", "type", "year", F.when(~ok, "invalid").when(F.col("there"), "skipped").otherwise("imported").alias("outcome"))
 
 
-add("wf01_import", _imported, R + "SELECT trim(key) AS key, type, nullif(year, 0) AS year, CASE WHEN NOT coalesce(trim(title) <> '' AND year > 0, false) THEN 'invalid' WHEN trim(key) IN (SELECT trim(key) FROM k WHERE type = 'book') THEN 'skipped' ELSE 'imported' END AS outcome FROM k")
+add("wf01_import", _imported, R + "SELECT trim(key) AS key, type, nullif(year, 0) AS year, CASE WHEN NOT coalesce(trim(title) <> '' AND year > 0, false) THEN 'invalid' WHEN trim(key) IN (SELECT trim(key) FROM k WHERE type = 'book') THEN 'skipped' ELSE 'imported' END AS outcome FROM k WHERE " + _CLOSED)
 add("wf03_deduplicate", lambda s, d: _deduplicated(s, d), _TAY.rstrip() + f", g AS (SELECT r.*, dk.tay_key AS g FROM r JOIN dk USING (row_id)), big AS (SELECT g FROM g GROUP BY g HAVING count(*) > 1) SELECT 'merged' AS how, arg_min(key, (-({_NF}), added, row_id)) AS key, {_LONG('title')} FROM g WHERE g IN (SELECT g FROM big) GROUP BY g UNION ALL SELECT 'kept', key, title FROM g WHERE g NOT IN (SELECT g FROM big)")
 
 
@@ -314,3 +328,57 @@ def _clusters(words, most, by_length):
 
 _KEYS = ("name", "kind", "boost", "indexed", "stored", "analyzed", "analyzer")
 add("str11_fields", lambda s, d: s.createDataFrame([tuple(f[k] for k in _KEYS) for f in E.configured()], "name string, kind string, boost double, indexed boolean, stored boolean, analyzed boolean, analyzer string"))
+
+
+# the search service as a whole
+def _service(s, d):
+    """Hits of the page, the total, facets over all matches: parsed, widened by synonyms, ranked, counted."""
+    got = E.Service(records(s, d)).with_synonyms({"archives": ["repositories"]}).search("archives OR kriging")
+    hits = got.page.select(F.lit("hit").alias("part"), F.col("row_id").cast("string").alias("name"), F.round("score", 6).alias("amount"))
+    total = got.matches.agg(F.count(F.lit(1)).cast("double").alias("amount")).select(F.lit("total").alias("part"), F.lit("").alias("name"), "amount")
+    facets = got.facets.select(F.lit("facet").alias("part"), F.concat("field", F.lit("="), "value").alias("name"), F.col("n").cast("double").alias("amount"))
+    return hits.unionByName(total).unionByName(facets)
+
+
+_WIDE = f"(CASE WHEN {_has('archives')} THEN {_score('archives')} ELSE 0.0 END + CASE WHEN {_has('repositories')} THEN 0.8 * {_score('repositories')} ELSE 0.0 END + CASE WHEN {_has('kriging')} THEN {_score('kriging')} ELSE 0.0 END)"
+add("srch37_engine", _service, RK.rstrip() + f", hit AS (SELECT *, round({_WIDE}, 6) AS score FROM rk WHERE {_has('archives')} OR {_has('repositories')} OR {_has('kriging')}) "
+    "SELECT 'hit' AS part, CAST(row_id AS VARCHAR) AS name, CAST(score AS DOUBLE) AS amount FROM (SELECT row_id, score FROM hit ORDER BY score DESC, row_id LIMIT 20) UNION ALL SELECT 'total', '', count(*) FROM hit"
+    + "".join(f" UNION ALL SELECT 'facet', '{f}=' || CAST({f} AS VARCHAR), count(*) FROM hit WHERE CAST({f} AS VARCHAR) <> '' GROUP BY 2" for f in ("type", "year", "journal")))
+
+
+def _suggested(s, d):
+    """What the service proposes where a query finds little: at most five matches are counted."""
+    service, text = E.Service(records(s, d)), "title:comet AND kriging"
+    n = service.matches(service.parsed(text)).limit(5).count()
+    return s.createDataFrame([(x,) for x in service.suggestions(text, n)], "suggestion string")
+
+
+add("srch38_with_suggestions", _suggested, RK + f"SELECT suggestion FROM (VALUES ('(title:comet OR kriging)', 3), ('comet kriging', 5)) t(suggestion, most), (SELECT count(*) AS n FROM rk WHERE {_has('comet')} AND {_has('kriging')}) WHERE n < most")
+
+# queries as they are read: text, printed again, complexity, words, fields
+_READ = [
+    ("graph", "graph", 1, "graph", ""), ("graph AND theory", "(graph AND theory)", 2, "graph theory", ""), ("a OR b NOT c", "(a OR b NOT c)", 3, "a b", ""), ("title:otter", "title:otter", 2, "otter", "title"),
+    ("year:[2000 TO 2010]", "year:[2000 TO 2010]", 2, "", "year"), ("year:{2000 TO 2010}", "year:{2000 TO 2010}", 2, "", "year"), ('"drawn from"~2', '"drawn from"~2', 2, "drawn from", ""), ("krig*", "krig*", 3, "", ""),
+    ("kriging~1", "kriging~1", 5, "kriging", ""), ("otter^2.5", "otter^2.5", 1, "otter", ""), ("two words", "(two AND words)", 2, "two words", ""),
+]
+
+
+def _read_queries(s, d):
+    L = E.L
+    rows = [(t, str(q), L.complexity(q), " ".join(L.terms(q)), " ".join(L.fields(q))) for t in (r[0] for r in _READ) for q in (L.parse(t),)]
+    return s.createDataFrame(rows, "text string, printed string, complexity int, words string, fields string")
+
+
+add("srch01_parsed", _read_queries, "SELECT * FROM (VALUES " + ", ".join("(" + ", ".join(repr(x) if isinstance(x, int) else "'" + x.replace("'", "''") + "'" for x in r) + ")" for r in _READ) + ") t(text, printed, complexity, words, fields)")
+
+# a file of entries, read back field by field
+_FLAT = r"trim(regexp_replace({c}, '[\s\pZ]+', ' ', 'g'))"
+
+
+def _read_back(s, d):
+    path = _place(s, "bibtex")
+    B.write_text(by_key(s, d).where(B.closes_braces(_BACK)), X.bibtex(), path)  # the format cannot hold other values
+    return B.read_bibtex(s, path).select("key", "type", *[F.col("fields")[n].alias(n) for n in _BACK])
+
+
+add("src12_read_bibtex", _read_back, R + "SELECT trim(key) AS key, type, " + ", ".join(_FLAT.format(c=f"CAST({_f(n)} AS VARCHAR)") + f" AS {n}" for n in _BACK) + f" FROM k WHERE {_CLOSED}")

@@ -77,7 +77,6 @@ def _round(s, d, write, read):
 
 
 _SQUEEZE = r"trim(regexp_replace({c}, '\s+', ' ', 'g'))"
-add("src12_read_bibtex", lambda s, d: _round(s, d, lambda r, p: B.write_text(r, X.bibtex(), p), lambda p: B.read_bibtex(s, p)).select("key", "type", F.col("fields")["year"].alias("year"), F.col("fields")["pages"].alias("pages")), R + f"SELECT trim(key) AS key, type, CAST(nullif(year, 0) AS VARCHAR) AS year, {_SQUEEZE.format(c=_f('pages'))} AS pages FROM k")
 add("src15_read_ris", lambda s, d: _round(s, d, lambda r, p: B.write_text(r, X.ris(), p), lambda p: B.read_ris(s, p)).groupBy("type").agg(F.count(F.lit(1)).alias("n")), R + "SELECT CASE WHEN type IN ('incollection', 'inbook') THEN 'incollection' WHEN type IN ('phdthesis', 'mastersthesis') THEN 'phdthesis' WHEN type IN ('article', 'book', 'inproceedings', 'techreport', 'online', 'dataset') THEN type ELSE 'misc' END AS type, count(*) AS n FROM k GROUP BY 1")
 add("src17_ris_keys", lambda s, d: _round(s, d, lambda r, p: B.write_text(r, X.ris(), p), lambda p: B.read_ris(s, p)).select("key"))
 add("src33_backup", lambda s, d: _backup(s, d), R + "SELECT count(*) AS n, 0 AS missing, 0 AS extra, 0 AS changed FROM k")

@@ -63,7 +63,6 @@ def _parents(s, d):
 add("srch26_field_union", lambda s, d: S.search(records(s, d), "title:comet OR abstract:comet", True).select("row_id"), RK + "SELECT row_id FROM rk WHERE list_contains(regexp_extract_all(lower(title), '[\\p{L}\\p{N}_]+'), 'comet') OR coalesce(list_contains(regexp_extract_all(lower(abstract), '[\\p{L}\\p{N}_]+'), 'comet'), false)")
 add("srch28_bm25_rank", lambda s, d: _bm25(s, d), _POST + ", dl AS (SELECT row_id, sum(len) AS len FROM (SELECT DISTINCT row_id, field, len FROM post) GROUP BY 1), q AS (SELECT term, row_id, sum(tf) AS tf FROM post WHERE term IN ('comet', 'otter') GROUP BY ALL), dfq AS (SELECT term, count(*) AS df FROM q GROUP BY 1) SELECT q.row_id, round(sum(ln(((SELECT count(*) FROM dl) - df + 0.5) / (df + 0.5) + 1) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl.len / (SELECT avg(len) FROM dl)))), 6) AS score FROM q JOIN dfq USING (term) JOIN dl USING (row_id) GROUP BY 1")
 add("srch31_store_index", lambda s, d: S.simple_index(S.postings(S.searchable(records(s, d))), "kriging", "abstract").select("row_id"), _POST + "SELECT row_id FROM post WHERE term = 'kriging' AND field = 'abstract'")
-add("srch38_with_suggestions", lambda s, d: S.searchable(records(s, d)).where(S.evaluate(E.L.relaxed(E.L.parse("comet AND kriging"), 1))[0]).select("row_id"), RK + f"SELECT row_id FROM rk WHERE {_has('comet')} OR {_has('kriging')}")
 add("srch41_field_rewrite", lambda s, d: S.searchable(records(s, d)).where(S.evaluate(E.L.with_fields(E.L.parse("title:\"of the\""), E.FIELD_EXPANSION))[0]).select("row_id"), RK + "SELECT row_id FROM rk WHERE contains(lower(title), 'of the') OR coalesce(contains(lower(abstract), 'of the'), false)")
 add("srch43_relaxed_prefix", lambda s, d: S.searchable(records(s, d)).where(S.evaluate(E.L.relaxed(E.L.parse("krig"), 3))[0]).select("row_id"), RK + f"SELECT row_id FROM rk WHERE {_has('krig')} OR " + " OR ".join(f"coalesce(regexp_matches({f}, '(?i)krig.*'), false)" for f in S.FIELDS))
 add("srch47_quotes", lambda s, d: notes(s, d).where(F.lower("content").contains("title") & F.col("note_type").isin("ana", "chen")).select("note_id", "version"), R + "SELECT note_id, version FROM note WHERE contains(lower(content), 'title') AND note_type IN ('ana', 'chen')")

@@ -69,7 +69,6 @@ add("srch32_postings", lambda s, d: _post(s, d).groupBy("term").agg(F.countDisti
 add("srch33_suggest", lambda s, d: S.suggest(records(s, d), "why", "title", 15), R + "SELECT DISTINCT title FROM r WHERE lower(title) LIKE 'why%' ORDER BY title LIMIT 15")
 add("srch34_suggest_near", lambda s, d: records(s, d).select(F.explode(T.tokens(F.col("title"))).alias("term")).where(F.col("term").startswith("krig") | (F.levenshtein(F.col("term"), F.lit("stemmin"), 2) >= 0)).distinct(), R + f"SELECT DISTINCT term FROM (SELECT unnest({TOK('title')}) AS term FROM r) WHERE starts_with(term, 'krig') OR levenshtein(term, 'stemmin') <= 2")
 add("srch35_more_like", lambda s, d: S.more_like(_post(s, d), 10), _POST + ", dfq AS (SELECT term, count(DISTINCT row_id) AS df FROM post GROUP BY 1), own AS (SELECT term, sum(tf) AS o FROM post WHERE row_id = 10 GROUP BY 1) SELECT p.row_id, round(sum(o * ln((SELECT count(DISTINCT row_id) FROM post) / df) * p.tf), 6) AS score FROM post p JOIN own USING (term) JOIN dfq USING (term) WHERE p.row_id <> 10 GROUP BY 1 ORDER BY score DESC, row_id LIMIT 10")
-add("srch37_engine", lambda s, d: S.search(records(s, d), "archives OR kriging").orderBy(F.desc(F.round("score", 6)), "row_id").limit(20).select("row_id", F.round("score", 6).alias("score")), RK + f"SELECT row_id, score FROM (SELECT row_id, round(CASE WHEN {_has('archives')} THEN {_score('archives')} ELSE 0.0 END + CASE WHEN {_has('kriging')} THEN {_score('kriging')} ELSE 0.0 END, 6) AS score FROM rk WHERE {_has('archives')} OR {_has('kriging')}) ORDER BY score DESC, row_id LIMIT 20")
 add("srch42_spelling", lambda s, d: _near_words(s, d), R + f"SELECT word, max(term) AS term FROM (SELECT w.word, t.term, row_number() OVER (PARTITION BY w.word ORDER BY levenshtein(w.word, t.term), t.df DESC, t.term) AS rn FROM (SELECT unnest(['krigng', 'glacer', 'tokeniser']) AS word) w JOIN (SELECT term, count(*) AS df FROM (SELECT unnest({TOK('title')}) AS term FROM r) GROUP BY 1) t ON levenshtein(w.word, t.term) <= 2) WHERE rn = 1 GROUP BY 1")
 add("qry31_score_threshold", lambda s, d: S.search(records(s, d), "kriging").where("round(score, 6) >= 1.5").select("row_id"), RK + f"SELECT row_id FROM rk WHERE {_has('kriging')} AND round({_score('kriging')}, 6) >= 1.5")
 add("srt10_top_k", lambda s, d: S.search(records(s, d), "kriging").orderBy(F.desc(F.round("score", 6)), "row_id").offset(5).limit(10).select("row_id"), RK + f"SELECT row_id FROM rk WHERE {_has('kriging')} ORDER BY round({_score('kriging')}, 6) DESC, row_id LIMIT 10 OFFSET 5")

@@ -182,6 +182,13 @@ def resolve_keys(df: DataFrame, strategy: str, order: str = "ord") -> DataFrame:
     return df.withColumn("n", n).withColumn("key", F.concat("key", F.when(F.col("n") > 1, F.concat(F.lit("_"), (F.col("n") - 1).cast("string"))).otherwise(""))).drop("n")
 
 
+def closes_braces(fields: list[str]) -> Column:
+    """Whether all values close the braces they open; a value that does not would swallow the fields after it."""
+    step = lambda at, c: F.when((at < 0) | ((c == "}") & (at == 0)), -1).otherwise(at + F.when(c == "{", 1).when(c == "}", -1).otherwise(0))
+    ends = lambda n: F.aggregate(F.split(F.regexp_replace(F.coalesce(F.col(n).cast("string"), F.lit("")), "[^{}]", ""), ""), F.lit(0), step)
+    return F.array_max(F.transform(F.array(*[ends(n) for n in fields]), lambda x: F.abs(x))) == 0
+
+
 def write_text(df: DataFrame, column, path: str) -> None:
     """One formatted record after another, in as many files as there are partitions."""
     df.select(column.alias("value")).write.option("lineSep", "\n\n").text(path)

@@ -115,3 +115,9 @@ def test_fields_and_collections(spark):
     for bad in (lambda: engine.build_collection(" "), lambda: engine.build_collection("C", entry_keys=["x"], query="q")):
         with pytest.raises(ValueError):
             bad()
+
+
+def test_braces_close_in_order(spark):
+    rows = [("a {b} c", True), ("{a", False), ("a}: {b", False), ("{{x}{y}}", True), (None, True), ("", True), ("}", False)]
+    got = [r.v for r in table(spark, [(k, t) for k, (t, _) in enumerate(rows)], "k int, t string").orderBy("k").select(B.closes_braces(["t"]).alias("v")).collect()]
+    assert got == [v for _, v in rows]
